@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,15 +18,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
-
-    Only where neither the setting nor a directory exists (a local session in tests) is one made.
-    """
-    context = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Make sure that there is a checkpoint folder: the one that spark.checkpoint.dir names, or where that is unset
+    (a local session in tests) a new one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -48,3 +51,25 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch],
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+
+
+def scratch(df: DataFrame) -> DataFrame:
+    """df as a compressed table in the shared checkpoint folder: for intermediate rows with long strings, which a
+    checkpoint would store as they are."""
+    context = df.sparkSession.sparkContext
+    checkpoint_dir(df.sparkSession)
+    path = f"{context.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def portions(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many bytes."""
+    begin = total = 0
+    for i, text in enumerate(texts):
+        if total and total + len(text) > limit:
+            yield begin, i
+            begin, total = i, 0
+        total += len(text)
+    if begin < len(texts):
+        yield begin, len(texts)

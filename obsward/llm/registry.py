@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from obsward.llm.bpe import op7_byte_bpe
 from obsward.llm.sharding import op3_byte_shards
+from obsward.llm.substring import op8_substring
+from obsward.llm.suffix_dedup import op2_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_byte_shards": op3_byte_shards,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_substring": op8_substring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
