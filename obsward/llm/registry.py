@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from obsward.llm.bpe import op7_byte_bpe
+from obsward.llm.quality import op10_quality
 from obsward.llm.sharding import op3_byte_shards
+from obsward.llm.simhash import op1_simhash
 from obsward.llm.substring import op8_substring
 from obsward.llm.suffix_dedup import op2_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_byte_shards": op3_byte_shards,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_substring": op8_substring,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
