@@ -6,7 +6,9 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
+from struct import pack
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -16,51 +18,10 @@ from obsward.llm.common import map_batches, read, utf8
 
 #: Split pattern of the vocabularies this operator is used with (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED_PIECES, CACHED_BYTES = 400_000, 48
+#: Short pre-tokens whose ids a worker keeps, about 150 bytes each.
+CACHED_PIECES, CACHED_BYTES = 1_000_000, 48
 
-
-class RankQueue:
-    """Positions waiting under merge ranks.  Three levels of 64-bit words tell which ranks have any.
-
-    find-first-set from the top word down gives the lowest rank in three steps, whatever is queued; the positions
-    of one rank come out leftmost first.
-    """
-
-    def __init__(self) -> None:
-        self.top = 0
-        self.middle: dict[int, int] = {}
-        self.low: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
-        self.middle[b] = self.middle.get(b, 0) | 1 << (a & 63)
-        self.top |= 1 << b
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        b = (self.top & -self.top).bit_length() - 1
-        word = self.middle[b]
-        a = b << 6 | (word & -word).bit_length() - 1
-        bits = self.low[a]
-        rank = a << 6 | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[a] = bits = bits & (bits - 1)
-            if not bits:
-                self.middle[b] = word = word & (word - 1)
-                if not word:
-                    self.top &= self.top - 1
-        return rank, position
+BIT = [1 << k for k in range(256)]
 
 
 class Codec:
@@ -69,6 +30,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
+        self.pairs = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
         # the white space of Unicode's property, without the separators 0x1C to 0x1F that \s has here
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.cache = _Pieces(self)
@@ -79,39 +41,78 @@ class Codec:
             return cls({base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}, pattern)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        """Ids of one pre-token.
+
+        Pairs of neighbouring parts wait in buckets, one for each merge rank that occurs, as the places of their left
+        parts in the linked list (`after`, `before`), leftmost first.  A bitmap in two levels tells which buckets there
+        are: find-first-set in the upper word, then in the lower, gives the least rank whatever is queued.  `waiting`
+        holds a place's current rank; an entry under another rank is stale and skipped.
+        """
+        get = self.ranks.get
+        whole = get(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
-        end = [*range(1, n + 1), n]  # of the part that starts here; parts form a linked list
-        before = [*range(-1, n)]
-        alive = [True] * n
-        queue = RankQueue()
-
-        def offer(at: int) -> None:
-            middle = end[at]
-            if middle < n and (rank := ranks.get(piece[at : end[middle]])) is not None:
-                queue.push(rank, at)
-
+        after = list(range(1, n + 1))
+        before = list(range(-1, n - 1))
+        waiting = [-1] * n
+        buckets: dict[int, list[int]] = {}
+        lower: dict[int, int] = {}
+        upper = 0
+        pairs = self.pairs
         for at in range(n - 1):
-            offer(at)
-        while (got := queue.pop()) is not None:
-            rank, at = got
-            if not alive[at] or (middle := end[at]) >= n or ranks.get(piece[at : end[middle]]) != rank:
-                continue  # stale: one of its parts has merged since
-            alive[middle] = False
-            end[at] = end[middle]
-            if end[at] < n:
-                before[end[at]] = at
-                offer(at)
-            if before[at] >= 0:
-                offer(before[at])
+            rank = pairs[piece[at] << 8 | piece[at + 1]]
+            if rank >= 0:
+                waiting[at] = rank
+                if rank in buckets:
+                    buckets[rank].append(at)
+                else:
+                    buckets[rank] = [at]
+                    word = rank >> 8
+                    lower[word] = lower.get(word, 0) | BIT[rank & 255]
+                    upper |= 1 << word
+        while upper:
+            word = (upper & -upper).bit_length() - 1
+            bits = lower[word]
+            least = word << 8 | (bits & -bits).bit_length() - 1
+            bucket = buckets[least]
+            if len(bucket) > 1:
+                at = heappop(bucket)
+            else:
+                at = bucket[0]
+                del buckets[least]
+                bits &= bits - 1
+                if bits:
+                    lower[word] = bits
+                else:
+                    del lower[word]
+                    upper &= upper - 1
+            if waiting[at] != least:
+                continue
+            middle = after[at]
+            waiting[middle] = -1
+            end = after[at] = after[middle]
+            if end < n:
+                before[end] = at
+            for left, stop in ((at, after[end] if end < n else 0), (before[at], end)):
+                if left < 0:
+                    continue
+                rank = get(piece[left:stop]) if stop else None
+                if rank is None:
+                    waiting[left] = -1
+                    continue
+                waiting[left] = rank
+                if rank in buckets:
+                    heappush(buckets[rank], left)
+                else:
+                    buckets[rank] = [left]
+                    word = rank >> 8
+                    lower[word] = lower.get(word, 0) | BIT[rank & 255]
+                    upper |= 1 << word
         ids, at = [], 0
         while at < n:
-            ids.append(ranks[piece[at : end[at]]])
-            at = end[at]
+            ids.append(self.ranks[piece[at : after[at]]])
+            at = after[at]
         return ids
 
     def encode_packed(self, text: str) -> bytes:
@@ -129,12 +130,6 @@ class Codec:
 
 
 def _unpacked(packed: bytes) -> list[int]:
-    return pa.Array.from_buffers(pa.uint32(), len(packed) // 4, [None, pa.py_buffer(packed)]).to_pylist() if len(packed) < 64 else _ints(packed)
-
-
-def _ints(packed: bytes) -> list[int]:
-    import numpy as np
-
     return np.frombuffer(packed, dtype="<u4").tolist()
 
 
@@ -147,7 +142,8 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
-        packed = b"".join(i.to_bytes(4, "little") for i in self.codec.merge(raw))
+        ids = self.codec.merge(raw)
+        packed = pack(f"<{len(ids)}I", *ids)
         if len(raw) <= CACHED_BYTES:
             if len(self) >= CACHED_PIECES:
                 self.clear()
