@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from obsward.llm.ann import OP9_SQL, op9_graph_search
 from obsward.llm.bpe import op7_byte_bpe
+from obsward.llm.line_dedup import OP4_SQL, op4_line_dedup
+from obsward.llm.media import op6_chunked_media
+from obsward.llm.mixing import op5_raked_mixture
 from obsward.llm.quality import op10_quality
 from obsward.llm.sharding import op3_byte_shards
 from obsward.llm.simhash import op1_simhash
@@ -17,9 +21,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_byte_shards": op3_byte_shards,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_raked_mixture": op5_raked_mixture,
+    "op6_chunked_media": op6_chunked_media,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_substring": op8_substring,
+    "op9_graph_search": op9_graph_search,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": OP4_SQL,
+    "op9_graph_search": OP9_SQL,
+}
