@@ -13,16 +13,25 @@ from obsward.stages import cut
 from obsward.types import DEFAULT, Columns, CoordinateType
 
 
-def _checked(df: DataFrame, radius: Param, num_min: Param, obs_to_check: Param | None, kind: CoordinateType | int | str, cols: Columns, elevated: bool) -> DataFrame:
+def _checked(df: DataFrame, radius: Param, num_min: Param, obs_to_check: Param | None, kind: CoordinateType | int | str, cols: Columns, elevated: bool, compat: str) -> tuple[DataFrame, DataFrame]:
+    """df with _good, whether a row begins unflagged; and the placed stations.
+
+    Rows with invalid values begin flagged: under compat "exact" with a scalar num_min only the first row is looked at,
+    else all are.
+    """
     number = param(num_min)
     if is_scalar(num_min):
         if num_min <= 0:
             raise RuntimeError("num_min must be positive")
     elif df.where(number <= 0).limit(1).count():
         raise RuntimeError("num_min must be positive")
+    good = is_valid(cols.value)
+    if compat == "exact" and is_scalar(num_min):
+        good = good | sure(F.col(cols.id) != F.lit(df.agg(F.min(cols.id)).first()[0]))
+    df = df.withColumn("_good", good)
     value = param(cols.value).cast("double")
-    return placed(df, kind, cols).select(
-        cols.id, "x", "y", "z",
+    return df, placed(df, kind, cols).select(
+        cols.id, "x", "y", "z", "_good",
         F.when(F.isnan(value), None).otherwise(value).alias("raw"), clean(cols.value).alias("value"),
         (clean(cols.elev) if elevated else F.lit(None).cast("double")).alias("elev"),
         param(radius).cast("double").alias("radius"), number.alias("num_min"),
@@ -30,49 +39,44 @@ def _checked(df: DataFrame, radius: Param, num_min: Param, obs_to_check: Param |
     )
 
 
-def _rounds(df: DataFrame, stations: DataFrame, radius: Param, num_min: Param, max_elev_diff: float, elev_gradient: float, num_iterations: int, cols: Columns, compat: str, sums: Callable[[Column], list[Column]], bad: Column) -> DataFrame:
+def _rounds(df: DataFrame, stations: DataFrame, radius: Param, max_elev_diff: float, elev_gradient: float, num_iterations: int, cols: Columns, sums: Callable[[Column], list[Column]], bad: Column) -> DataFrame:
     """The rounds that both checks share.
 
     sums: aggregates over the buddies, given their adjusted value (null if invalid).  bad: what they say of a station.
-    Rows with invalid values begin flagged: under compat "exact" with a scalar num_min only the first row is looked at,
-    else all are.  A round reads the flags of the one before it, so the order of the rows doesn't matter; it ends early
-    when no flag is added.
+    A round reads the flags of the one before it, so the order of the rows doesn't matter; it ends early when no flag is
+    added.  A single round aggregates the pairs as they are joined; for several they are kept.
     """
-    invalid = ~is_valid(cols.value)
-    if compat == "exact" and is_scalar(num_min):
-        first = df.agg(F.min(cols.id)).first()[0]
-        invalid = invalid & (F.col(cols.id) == F.lit(first))
-    flags = df.select(cols.id, F.when(invalid, 1).otherwise(0).alias("flag"))
     adjusted, condition = F.col("p.value"), within(F.col("q.radius")) & elsewhere()
     if max_elev_diff > 0:
         condition = condition & (F.abs(F.col("q.elev") - F.col("p.elev")) <= max_elev_diff)
         adjusted = adjusted + (F.col("q.elev") - F.col("p.elev")) * elev_gradient
-    edge = largest(stations, F.col("radius")) if not is_scalar(radius) else float(radius)
-    several = num_iterations > 1
-    pairs = None
-    if several:
-        found = near(stations.where("wanted"), stations.select(cols.id, "x", "y", "z", "value", "elev"), edge, condition)
-        pairs = found.select(F.col(f"q.{cols.id}").alias("a"), F.col(f"p.{cols.id}").alias("b"), adjusted.alias("adjusted")).persist()
-        flags = cut(flags)
-    for k in range(num_iterations):
-        open_ = flags.where("flag = 0").select(cols.id)
-        if pairs is None:
-            q = stations.where("wanted").join(open_, cols.id, "left_semi")
-            p = stations.join(open_, cols.id, "left_semi").select(cols.id, "x", "y", "z", "value", "elev")
-            found = near(q, p, edge, condition).select(F.col(f"q.{cols.id}").alias("a"), adjusted.alias("adjusted"))
-        else:
-            found = pairs.join(open_.withColumnRenamed(cols.id, "a"), "a", "left_semi").join(open_.withColumnRenamed(cols.id, "b"), "b", "left_semi")
-        judged = found.groupBy("a").agg(F.count("*").alias("n"), *sums(F.col("adjusted"))).join(stations.select(F.col(cols.id).alias("a"), "raw", "num_min"), "a")
-        new = judged.where((F.col("n") >= F.col("num_min")) & sure(bad)).select(F.col("a").alias(cols.id), F.lit(1).alias("now"))
-        flags = flags.join(new, cols.id, "left").select(cols.id, F.greatest("flag", F.coalesce("now", F.lit(0))).alias("flag"), (F.col("now") == 1).alias("now"))
-        if several:
-            flags = cut(flags)
-            if not flags.where("now").limit(1).count():
-                break
-        flags = flags.select(cols.id, "flag")
-    if pairs is not None:
+    edge = float(radius) if is_scalar(radius) else largest(stations, F.col("radius"))
+    points = stations.where("_good").select(cols.id, "x", "y", "z", "value", "elev")
+    found = near(stations.where("_good AND wanted"), points, edge, condition, cols.id)
+    pairs = found.select(F.col(f"q.{cols.id}").alias("a"), F.col("q.raw").alias("raw"), F.col("q.num_min").alias("num_min"), F.col(f"p.{cols.id}").alias("b"), adjusted.alias("adjusted"))
+    if num_iterations > 1:
+        pairs = pairs.persist()
+    gone = None
+    for _ in range(num_iterations):
+        held = pairs
+        if gone is not None:
+            held = held.join(gone.withColumnRenamed(cols.id, "a"), "a", "left_anti").join(gone.withColumnRenamed(cols.id, "b"), "b", "left_anti")
+        judged = held.groupBy("a", "raw", "num_min").agg(F.count("*").alias("n"), *sums(F.col("adjusted")))
+        new = judged.where((F.col("n") >= F.col("num_min")) & sure(bad)).select(F.col("a").alias(cols.id))
+        if num_iterations == 1:
+            gone = new
+            break
+        new = cut(new)
+        if new.isEmpty():
+            gone = new if gone is None else gone
+            break
+        gone = new if gone is None else cut(gone.unionByName(new))
+    if num_iterations > 1:
         pairs.unpersist()
-    return df.drop(cols.flag).join(flags.select(cols.id, F.col("flag").alias(cols.flag)), cols.id, "left")
+    if gone is None:
+        return df.withColumn(cols.flag, F.when(F.col("_good"), 0).otherwise(1)).drop("_good")
+    marked = df.drop(cols.flag).join(gone.withColumn("_now", F.lit(True)), cols.id, "left")
+    return marked.withColumn(cols.flag, F.when(F.col("_good") & F.col("_now").isNull(), 0).otherwise(1)).drop("_good", "_now")
 
 
 def buddy_check(df: DataFrame, radius: Param, num_min: Param, threshold: float, max_elev_diff: float, elev_gradient: float, min_std: float, num_iterations: int, obs_to_check: Param | None = None, kind: CoordinateType | int | str = CoordinateType.Geodetic, cols: Columns = DEFAULT, compat: str = "exact") -> DataFrame:
@@ -82,14 +86,14 @@ def buddy_check(df: DataFrame, radius: Param, num_min: Param, threshold: float,
     the gradient.  The deviation is that of the population, widened for the mean's own error, at least min_std.
     An invalid neighbour leaves its station unflagged.  radius, num_min: scalars or columns.
     """
-    stations = _checked(df, radius, num_min, obs_to_check, kind, cols, max_elev_diff > 0)
+    df, stations = _checked(df, radius, num_min, obs_to_check, kind, cols, max_elev_diff > 0, compat)
 
     def sums(v: Column) -> list[Column]:
         return [F.count_if(v.isNull()).alias("invalid"), F.avg(v).alias("mean"), F.var_pop(v).alias("var")]
 
     sd = F.greatest(F.sqrt(F.col("var") + F.col("var") / F.col("n")), F.lit(float(min_std)))
     bad = (F.col("invalid") == 0) & (F.abs(F.col("raw") - F.col("mean")) > threshold * sd)
-    return _rounds(df, stations, radius, num_min, max_elev_diff, elev_gradient, num_iterations, cols, compat, sums, bad)
+    return _rounds(df, stations, radius, max_elev_diff, elev_gradient, num_iterations, cols, sums, bad)
 
 
 def buddy_event_check(df: DataFrame, radius: Param, num_min: Param, event_threshold: float, threshold: float, max_elev_diff: float, elev_gradient: float, num_iterations: int, obs_to_check: Param | None = None, kind: CoordinateType | int | str = CoordinateType.Geodetic, cols: Columns = DEFAULT, compat: str = "exact") -> DataFrame:
@@ -97,7 +101,7 @@ def buddy_event_check(df: DataFrame, radius: Param, num_min: Param, event_thresh
 
     threshold below 1: a fraction of the neighbours, else a number of them.  Invalid values are no events.
     """
-    stations = _checked(df, radius, num_min, obs_to_check, kind, cols, max_elev_diff > 0)
+    df, stations = _checked(df, radius, num_min, obs_to_check, kind, cols, max_elev_diff > 0, compat)
 
     def sums(v: Column) -> list[Column]:
         return [F.count_if(sure(v < event_threshold)).alias("events")]
@@ -108,4 +112,4 @@ def buddy_event_check(df: DataFrame, radius: Param, num_min: Param, event_thresh
         bad = F.when(own, share <= threshold).otherwise(1 - share <= threshold)
     else:
         bad = F.when(own, F.col("events") <= threshold).otherwise(F.col("n") - F.col("events") <= threshold)
-    return _rounds(df, stations, radius, num_min, max_elev_diff, elev_gradient, num_iterations, cols, compat, sums, bad)
+    return _rounds(df, stations, radius, max_elev_diff, elev_gradient, num_iterations, cols, sums, bad)

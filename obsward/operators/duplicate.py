@@ -28,7 +28,7 @@ def duplicate_check(df: DataFrame, radius: float, vertical_range: float | None =
     condition = within(F.lit(float(radius))) & (F.col("q.id") > F.col("p.id"))
     if vertical:
         condition = condition & (F.abs(F.col("q.e") - F.col("p.e")) <= float(vertical_range))
-    edges = cut(near(first, first, float(radius), condition).select(F.col("q.id").alias("id"), F.col("p.id").alias("earlier")))
+    edges = cut(near(first, first, float(radius), condition, "id").select(F.col("q.id").alias("id"), F.col("p.id").alias("earlier")))
     gone = _covered(edges)
     kept = first.select("id").join(gone, "id", "left_anti").withColumnRenamed("id", cols.id).withColumn("_kept", F.lit(True))
     bad = F.col("_kept").isNull() & is_valid(cols.lat) & is_valid(cols.lon)

@@ -18,7 +18,7 @@ def neighbour_counts(df: DataFrame, radius: Param, vertical_radius: Param | None
     condition = within(F.col("q._radius")) & elsewhere()
     if vertical_radius is not None:
         condition = condition & (F.col("q._vertical").isNull() | (F.abs(F.col("q._elev") - F.col("p._elev")) <= F.col("q._vertical")))
-    found = near(rows, rows.select(cols.id, "x", "y", "z", "_elev"), largest(df, radius), condition)
+    found = near(rows, rows.select(cols.id, "x", "y", "z", "_elev"), largest(df, radius), condition, cols.id)
     return found.groupBy(F.col(f"q.{cols.id}").alias(cols.id)).agg(F.count("*").alias("n"))
 
 

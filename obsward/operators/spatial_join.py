@@ -38,13 +38,16 @@ def largest(df: DataFrame, radius: Param) -> float:
     return float(df.agg(F.max(param(radius))).first()[0] or 0.0)
 
 
-def near(queries: DataFrame, points: DataFrame, edge: float, condition: Column) -> DataFrame:
+def near(queries: DataFrame, points: DataFrame, edge: float, condition: Column, by: str) -> DataFrame:
     """Inner join of placed queries (alias q) and points (alias p) in adjacent cells under a condition.
 
     The edge must not be below any query's radius.  Only the queries are multiplied; a point has one cell, so no pair
-    comes twice.  Dense cells are left to adaptive skew joins.
+    comes twice.  Dense cells are left to adaptive skew joins.  The queries are dealt by `by` first: what a scan reads as
+    one split is then worked on by all cores, and where the points are small enough to be broadcast, an aggregate by that
+    column needs no other shuffle.
     """
     edge = max(edge, LEAST_EDGE)
+    queries = queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
     x, y, z = _cell(edge)
     around = F.array(*[_key(x + dx, y + dy, z + dz) for dx, dy, dz in product((-1, 0, 1), repeat=3)])
     q = queries.withColumn("_cell", F.explode(around)).alias("q")
@@ -72,7 +75,7 @@ def neighbours(queries: DataFrame, points: DataFrame, radius: Param, include_mat
     condition = within(F.col("q._radius"))
     if not include_match:
         condition = condition & elsewhere()
-    found = near(q.select(query_id, "x", "y", "z", "_radius"), placed(points, kind, cols).select(cols.id, "x", "y", "z"), largest(queries, radius), condition)
+    found = near(q.select(query_id, "x", "y", "z", "_radius"), placed(points, kind, cols).select(cols.id, "x", "y", "z"), largest(queries, radius), condition, query_id)
     return found.select(F.col(f"q.{query_id}").alias(query_id), F.col(f"p.{cols.id}").alias(cols.id), chord("q", "p").alias("dist"))
 
 
@@ -101,7 +104,7 @@ def closest_neighbours(queries: DataFrame, points: DataFrame, num: int, include_
     done: list[DataFrame] = []
     while True:
         last = radius >= whole
-        found = near(q, p, radius, within(F.lit(radius)) & different).select(F.col(f"q.{query_id}").alias(query_id), F.col(f"p.{cols.id}").alias(cols.id), chord("q", "p").alias("dist"))
+        found = near(q, p, radius, within(F.lit(radius)) & different, query_id).select(F.col(f"q.{query_id}").alias(query_id), F.col(f"p.{cols.id}").alias(cols.id), chord("q", "p").alias("dist"))
         ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= num).select(query_id, "rank", cols.id, "dist")
         if last:
             return reduce(DataFrame.unionByName, [*done, ranked])
