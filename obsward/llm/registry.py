@@ -14,7 +14,7 @@ from obsward.llm.mixing import op5_raked_mixture
 from obsward.llm.quality import op10_quality
 from obsward.llm.sharding import op3_byte_shards
 from obsward.llm.simhash import op1_simhash
-from obsward.llm.substring import op8_substring
+from obsward.llm.substring import OP8_SQL, op8_substring
 from obsward.llm.suffix_dedup import op2_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,5 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
+    "op8_substring": OP8_SQL,
     "op9_graph_search": OP9_SQL,
 }

@@ -63,3 +63,17 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(read(spark, sf_dir, "documents")).selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256) AS kept_sha256")
+
+
+#: Windows counted by their text.
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 33, 1))) AS i FROM d),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY md5(array_to_string(list_slice(w, i, i + 34), ' '))) AS n FROM l),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM c WHERE n > 1),
+u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+a AS (SELECT u.doc_id, count(g.k) AS n_removed, string_agg(CASE WHEN g.k IS NULL THEN word END, ' ' ORDER BY u.k) AS kept
+  FROM u LEFT JOIN g ON u.doc_id = g.doc_id AND u.k = g.k GROUP BY u.doc_id),
+r AS (SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept, '') AS kept FROM d LEFT JOIN a ON d.doc_id = a.doc_id)
+SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM r
+"""
