@@ -128,3 +128,31 @@ def sample(docs: DataFrame, targets: Targets | None = None, budget: float = BUDG
 def op5_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     return mixed(docs).where("_drawn < _probability").select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"), F.col("_row.lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_probability", 6).alias("probability"))
+
+
+#: The same fit and draw with the default targets; sweeps and halvings as recursions.
+OP5_SQL = r"""
+WITH RECURSIVE n AS (SELECT doc_id, text, source, lang, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n_tokens FROM documents),
+d AS (SELECT *, CASE WHEN n_tokens < 100 THEN 'short' WHEN n_tokens < 600 THEN 'medium' WHEN n_tokens < 2500 THEN 'long' ELSE 'vast' END AS topic FROM n),
+w(dim, name, want) AS (SELECT 0, 'src' || i, CAST(0.05 AS DOUBLE) FROM range(20) r(i)
+  UNION ALL SELECT * FROM (VALUES (1, 'en', 0.64e0), (1, 'de', 0.12e0), (1, 'fr', 0.12e0), (1, 'es', 0.12e0), (2, 'short', 0.04e0), (2, 'medium', 0.46e0), (2, 'long', 0.35e0), (2, 'vast', 0.15e0))),
+b AS (SELECT d.*, coalesce(a.name, '*') AS c0, coalesce(e.name, '*') AS c1, topic AS c2 FROM d LEFT JOIN w a ON a.dim = 0 AND a.name = source LEFT JOIN w e ON e.dim = 1 AND e.name = lang),
+c AS (SELECT c0, c1, c2, CAST(sum(n_tokens) AS DOUBLE) AS w FROM b GROUP BY ALL HAVING sum(n_tokens) > 0),
+t AS (SELECT sum(w) AS total FROM c),
+h AS (SELECT 0 AS dim, c0 AS name, sum(w) / any_value(total) AS have FROM c, t GROUP BY c0 UNION ALL SELECT 1, c1, sum(w) / any_value(total) FROM c, t GROUP BY c1 UNION ALL SELECT 2, c2, sum(w) / any_value(total) FROM c, t GROUP BY c2),
+g AS (SELECT h.dim, h.name, CASE WHEN h.name = '*' THEN have
+    ELSE want * (1 - coalesce(sum(CASE WHEN h.name = '*' THEN have END) OVER (PARTITION BY h.dim), 0)) / sum(want) OVER (PARTITION BY h.dim) END AS target
+  FROM h LEFT JOIN w ON w.dim = h.dim AND w.name = h.name),
+f AS (SELECT 0 AS k, c0, c1, c2, w, w / total AS x FROM c, t
+  UNION ALL SELECT k + 1, c0, c1, c2, w, x * CASE k % 3 WHEN 0 THEN g0.target / sum(x) OVER (PARTITION BY c0) WHEN 1 THEN g1.target / sum(x) OVER (PARTITION BY c1) ELSE g2.target / sum(x) OVER (PARTITION BY c2) END
+  FROM f JOIN g g0 ON g0.dim = 0 AND g0.name = c0 JOIN g g1 ON g1.dim = 1 AND g1.name = c1 JOIN g g2 ON g2.dim = 2 AND g2.name = c2 WHERE k < 75),
+x AS (SELECT c0, c1, c2, w, x FROM f WHERE k = 75),
+a AS (SELECT list({'w': w, 'x': x}) AS cells, max(w / (total * x)) AS top, any_value(total) AS total FROM x, t),
+r AS (SELECT 0 AS k, CAST(0 AS DOUBLE) AS lo, top AS hi FROM a
+  UNION ALL SELECT k + 1, CASE WHEN low THEN (lo + hi) / 2 ELSE lo END, CASE WHEN low THEN hi ELSE (lo + hi) / 2 END
+  FROM (SELECT r.*, list_sum(list_transform(cells, lambda c: least(c.w, (lo + hi) / 2 * total * c.x))) < 0.7e0 * total AS low FROM r, a WHERE k < 60)),
+p AS (SELECT c0, c1, c2, least(1, hi * total * x / w) AS probability FROM x, t, (SELECT hi FROM r WHERE k = 60))
+SELECT doc_id, source, lang, topic, n_tokens, round(CASE WHEN n_tokens = 0 THEN 1 ELSE probability END, 6) AS probability
+FROM b LEFT JOIN p ON p.c0 = b.c0 AND p.c1 = b.c1 AND p.c2 = b.c2
+WHERE CAST('0x' || substr(md5('5:' || coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 12) AS BIGINT) / 281474976710656e0 < CASE WHEN n_tokens = 0 THEN 1 ELSE probability END
+"""

@@ -10,7 +10,7 @@ from obsward.llm.ann import OP9_SQL, op9_graph_search
 from obsward.llm.bpe import op7_byte_bpe
 from obsward.llm.line_dedup import OP4_SQL, op4_line_dedup
 from obsward.llm.media import op6_chunked_media
-from obsward.llm.mixing import op5_raked_mixture
+from obsward.llm.mixing import OP5_SQL, op5_raked_mixture
 from obsward.llm.quality import op10_quality
 from obsward.llm.sharding import op3_byte_shards
 from obsward.llm.simhash import op1_simhash
@@ -32,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
+    "op5_raked_mixture": OP5_SQL,
     "op8_substring": OP8_SQL,
     "op9_graph_search": OP9_SQL,
 }
