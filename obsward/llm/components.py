@@ -1,31 +1,75 @@
-"""Connected components by joins: least labels with pointer jumping."""
+"""Connected components by joins: forests in the tasks, then contraction."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsward.llm.common import checkpoint
 
+#: Nodes that a task holds while it looks for links that connect nothing new.
+HELD = 500_000
+
+
+def forest(links: DataFrame) -> DataFrame:
+    """Links (longs a, b) that connect the same nodes: each task keeps those that join two of its own trees.
+
+    A group of g nodes with all its g² links comes out of each task with less than g.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while (up := above.get(top, top)) != top:
+                top = up
+            while x != top:
+                above[x], x = top, above.get(x, x)
+            return top
+
+        for batch in batches:
+            kept = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = root(a), root(b)
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    kept.append((a, b))
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
+            if len(above) > HELD:
+                above.clear()
+
+    return links.select("a", "b").mapInArrow(run, "a bigint, b bigint")
+
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root for each node of the links (columns a, b of one orderable type); root is the least node it reaches.
+    """node, root for each node of the links (longs a, b); root is the least node it reaches.
 
-    Each round takes the least root among a node's own and its neighbours', lets the node's former root follow, and
-    then replaces roots by their roots, so the rounds grow with the logarithm of the longest chain.  Every round is
-    checkpointed; all that reaches the driver is whether something changed.
+    In each round a node takes the first of its neighbours and itself, in an order drawn anew for the round, as label,
+    and labels follow labels once.  Then the links are contracted: their ends become labels, links within one label go
+    and equal ones become one.  A round leaves a fraction of the nodes whatever the shape, a long chain too, so the
+    rounds grow with the logarithm of the input.  Every round is checkpointed; all that reaches the driver is whether
+    links are left.
     """
-    both = checkpoint(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
-    while True:
-        near = both.join(roots, both.b == roots.node).select(F.col("a").alias("node"), "root").unionByName(roots)
-        least = near.groupBy("node").agg(F.min("root").alias("root"))
-        old = roots.select("node", F.col("root").alias("old"))
-        hooked = least.join(old, "node").select(F.col("old").alias("node"), "root").unionByName(least).groupBy("node").agg(F.min("root").alias("root"))
-        hooked = checkpoint(hooked)
-        above = hooked.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        jumped = checkpoint(hooked.join(above, "root").select("node", F.col("above").alias("root")))
-        changed = jumped.join(old, "node").where("root <> old").limit(1).count()
-        roots = jumped
-        if not changed:
-            return roots
+    edges = checkpoint(forest(links))
+    groups = checkpoint(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("group", F.col("node")))
+    round_ = 0
+    while not edges.isEmpty():
+        round_ += 1
+        rank = lambda c: F.struct(F.xxhash64(F.lit(round_), c), F.col(c).alias("node"))  # noqa: B023, E731
+        ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = ends.groupBy("a").agg(F.min(rank("b")).alias("other")).select(F.col("a").alias("node"), F.least(rank("a"), F.col("other"))["node"].alias("label"))
+        first = checkpoint(first)
+        above = first.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        labels = checkpoint(first.join(above, "label").select("node", F.col("above").alias("label")))
+        left = edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a")
+        both = left.join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").where("x <> y")
+        edges = checkpoint(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        moved = labels.select(F.col("node").alias("group"), "label")
+        groups = checkpoint(groups.join(moved, "group", "left").select("node", F.coalesce("label", "group").alias("group")))
+    least = groups.groupBy("group").agg(F.min("node").alias("root"))
+    return groups.join(least, "group").select("node", "root")
