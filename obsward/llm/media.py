@@ -205,7 +205,9 @@ def load(media: MediaStore, with_payload: bool = False) -> DataFrame:
     alone = media.packs.where("NOT shared").select("doc_id", "manifest", "own").mapInArrow(whole, "doc_id bigint, " + schema)
 
     mixed = media.packs.where("shared")
-    lists = mixed.select("h1", "h2", "manifest", "own").distinct()
+    # equal texts share all their chunks: only packs without bytes of their own can come twice
+    bare = mixed.where("length(own) = 0").select("h1", "h2", "manifest").distinct()
+    lists = mixed.where("length(own) > 0").select("h1", "h2", "manifest", "own").unionByName(bare.withColumn("own", F.lit(b"")))
 
     def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +221,7 @@ def load(media: MediaStore, with_payload: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["h1", "h2", "place", "digest"])
 
     none = F.lit(None).cast("binary")
-    references = mixed.select("h1", "h2", "manifest").distinct().mapInArrow(refer, "h1 bigint, h2 bigint, place int, digest binary")
+    references = lists.select("h1", "h2", "manifest").mapInArrow(refer, "h1 bigint, h2 bigint, place int, digest binary")
     fetched = references.join(media.chunks, "digest").select("h1", "h2", "place", none.alias("manifest"), "bytes")
     rows = fetched.unionByName(lists.select("h1", "h2", F.lit(-1).alias("place"), "manifest", F.col("own").alias("bytes")))
 
