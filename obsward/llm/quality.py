@@ -157,20 +157,26 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FITTED_ON) -> Model:
         ids = got.column("ids").combine_chunks()
         size = np.diff(ids.offsets.to_numpy())
         mark = np.repeat(toxic, size)
-        names, at = np.unique(ids.values.to_numpy().view(U), return_inverse=True)
-        a, b = np.bincount(at[mark], minlength=len(names)), np.bincount(at[~mark], minlength=len(names))
+        values = ids.values.to_numpy().view(U)
+        names, n = np.unique(values, return_counts=True)
+        marked, counts = np.unique(values[mark], return_counts=True)
+        a = np.zeros(len(names), dtype=np.int64)
+        a[np.searchsorted(names, marked)] = counts
+        b = n - a
         n1, n0 = toxic.sum(), (~toxic).sum()
         ratio = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
         # by Chernoff's bound no word gets in by chance: exp(-n KL) against the number of words tried
-        n, share = a + b, n1 / (n0 + n1)
+        share = n1 / (n0 + n1)
         f = np.clip(a / n, 1e-12, 1 - 1e-12)
         surprise = n * (f * np.log(f / share) + (1 - f) * np.log((1 - f) / (1 - share)))
         on = np.flatnonzero((a >= LEAST_DOCS) & (ratio >= LEAST_RATIO) & (surprise > np.log((n >= LEAST_DOCS).sum() + 1) + 2))
         on = np.sort(on[np.argsort(-ratio[on], kind="stable")[:LEXICON]])
         model.lexicon, model.lexicon_weights = names[on], np.log(ratio[on])
         have = np.zeros(len(toxic))
-        hits = np.isin(at, on)
-        np.add.at(have, np.repeat(np.arange(len(toxic)), size)[hits], np.log(ratio[at[hits]]))
+        if len(on):
+            at = np.minimum(np.searchsorted(model.lexicon, values), len(on) - 1)
+            hits = model.lexicon[at] == values
+            np.add.at(have, np.repeat(np.arange(len(toxic)), size)[hits], model.lexicon_weights[at[hits]])
         intercept, slope = _logistic(have[:, None], toxic.astype(float), 1e-2)
         model.slope, model.intercept = float(slope), float(intercept)
     return model
