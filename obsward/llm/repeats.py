@@ -1,7 +1,8 @@
 """Where windows of a fixed length repeat in a corpus: the part that substring and suffix-array dedup share.
 
 1. Keys: every text is cut into super-k-mers; the keys that occur twice or more are put into a bit table.
-2. Candidates: a second pass packs the super-k-mers whose key is in the table, one string each.
+2. Candidates: a second pass packs the super-k-mers whose key is in the table, one string each; where a document says the
+   same over and over, equal strings of it are one row with all their places.
 3. Buckets: strings travel to their key's bucket, where a judge finds the repeated windows exactly.  A string that
    stands there twice is repeated as a whole and is judged once.
 4. Hot buckets (over HOT_WINDOWS windows): equal strings are aggregated first, windows of the different ones are counted
@@ -94,7 +95,7 @@ def _found(texts: list[bytes], units: type, window: int, gram: int) -> Iterator[
 
 
 def repeated_spans(texts: DataFrame, units: type, window: int, gram: int, judge: Judge) -> DataFrame:
-    """h1, h2, spans (array of begin and end, in windows' first units) of each text with repeated windows.
+    """h1, h2, spans (array of begins and n: n windows from each of the begins on) of each text with repeated windows.
 
     texts: h1, h2, text.
     """
@@ -114,18 +115,20 @@ def repeated_spans(texts: DataFrame, units: type, window: int, gram: int, judge:
             for own, of, start, count, key, base in _found(utf8(batch.column("text")), units, window, gram):
                 on = np.flatnonzero(looked_up(table, key))
                 if len(on):
-                    of, start, count, key = of[on], start[on], count[on], key[on]
-                    strings = [own.packed(i, a, a + n + window - 1) for i, a, n in zip(of.tolist(), start.tolist(), count.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h1[of + base]), pa.array(h2[of + base]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(strings, pa.binary())], ["key", "h1", "h2", "start", "n", "packed"])
-
-    found = scratch(texts.mapInArrow(candidates, "key bigint, h1 bigint, h2 bigint, start int, n int, packed binary"))
-    hot_keys = found.groupBy("key").agg(F.sum("n").alias("windows")).where(F.col("windows") > HOT_WINDOWS)
+                    some: dict[tuple[int, bytes], tuple[int, int, list[int]]] = {}
+                    for i, at, n, k in zip(of[on].tolist(), start[on].tolist(), count[on].tolist(), key[on].view(np.int64).tolist(), strict=True):
+                        some.setdefault((i, own.packed(i, at, at + n + window - 1)), (k, n, []))[2].append(at)
+                    text = np.array([i for i, _ in some]) + base
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in some.values()], pa.int64()), pa.array(h1[text]), pa.array(h2[text]), pa.array([x for _, _, x in some.values()], pa.list_(pa.int32())), pa.array([n for _, n, _ in some.values()], pa.int32()), pa.array([x for _, x in some], pa.binary())], ["key", "h1", "h2", "starts", "n", "packed"])
+
+    found = scratch(texts.mapInArrow(candidates, "key bigint, h1 bigint, h2 bigint, starts array<int>, n int, packed binary"))
+    hot_keys = found.groupBy("key").agg(F.sum(F.col("n") * F.size("starts")).alias("windows")).where(F.col("windows") > HOT_WINDOWS)
     hot = key_table(hot_keys)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_buckets(batches):
             if spans := _judged(rows, judge, window):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(spans, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["h1", "h2", "begin", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(spans, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32()), strict=True)], ["h1", "h2", "begins", "n"])
 
     def parted(is_hot: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,17 +138,17 @@ def repeated_spans(texts: DataFrame, units: type, window: int, gram: int, judge:
 
         return run
 
-    schema = "h1 bigint, h2 bigint, begin int, end int"
+    schema = "h1 bigint, h2 bigint, begins array<int>, n int"
     cold = found.mapInArrow(parted(False), found.schema).repartition("key").sortWithinPartitions("key").mapInArrow(buckets, schema)
     spans = cold.distinct()
     if np.any(hot.value):
         spans = cold.unionByName(_hot_spans(found.mapInArrow(parted(True), found.schema), units, window)).distinct()
-    return spans.groupBy("h1", "h2").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    return spans.groupBy("h1", "h2").agg(F.collect_list(F.struct("begins", "n")).alias("spans"))
 
 
 def _hot_spans(rows: DataFrame, units: type, window: int) -> DataFrame:
-    different = rows.groupBy("packed").agg(F.count("*").alias("copies"), F.min("h1").alias("h1"), F.min("h2").alias("h2"), F.min("start").alias("start"))
-    copied = rows.join(different.where("copies > 1").select("packed"), "packed", "left_semi").select("h1", "h2", F.col("start").alias("begin"), (F.col("start") + F.col("n")).alias("end"))
+    different = rows.groupBy("packed").agg(F.sum(F.size("starts")).alias("copies"), F.min("h1").alias("h1"), F.min("h2").alias("h2"), F.min(F.element_at("starts", 1)).alias("start"))
+    copied = rows.join(different.where("copies > 1").select("packed"), "packed", "left_semi").select("h1", "h2", F.col("starts").alias("begins"), "n")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +161,7 @@ def _hot_spans(rows: DataFrame, units: type, window: int) -> DataFrame:
 
     windows = different.mapInArrow(explode, "w1 bigint, w2 bigint, copies bigint, h1 bigint, h2 bigint, begin int")
     again = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1")
-    single = windows.where("copies = 1").join(again, ["w1", "w2"], "left_semi").select("h1", "h2", "begin", (F.col("begin") + 1).alias("end"))
+    single = windows.where("copies = 1").join(again, ["w1", "w2"], "left_semi").select("h1", "h2", F.array("begin").alias("begins"), F.lit(1).alias("n"))
     return copied.unionByName(single)
 
 
@@ -167,9 +170,9 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     held: list[tuple] = []
     size, last, begin = 0, None, 0
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "packed", "h1", "h2", "start", "n")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "packed", "h1", "h2", "starts", "n")), strict=True):
             if row[0] != last:
-                if len(held) - begin == 1:  # alone: its key was only taken for a repeated one
+                if len(held) - begin == 1 and len(held[-1][4]) == 1:  # alone: its key was only taken for a repeated one
                     size -= len(held.pop()[1])
                 if size >= BATCH_BYTES:
                     yield held
@@ -190,22 +193,24 @@ def _judged(rows: list[tuple], judge: Judge, window: int) -> list[list] | None:
         else:
             places[row[1]] = [row]
             by_key[row[0]] = by_key.get(row[0], 0) + 1
-    single = {x[0][0] for x in places.values() if len(x) == 1}
+    copies = {s: sum(len(row[4]) for row in x) for s, x in places.items()}
+    single = {x[0][0] for s, x in places.items() if copies[s] == 1}
     strings = [s for s, x in places.items() if by_key[x[0][0]] > 1 and x[0][0] in single]
     out: list[list] = [[], [], [], []]
 
-    def add(row: tuple, a: int, b: int) -> None:
-        for column, x in zip(out, (row[2], row[3], row[4] + a, row[4] + b), strict=True):
+    def add(row: tuple, begins: list[int], n: int) -> None:
+        for column, x in zip(out, (row[2], row[3], begins, n), strict=True):
             column.append(x)
 
     for s, x in places.items():
-        if len(x) > 1:
+        if copies[s] > 1:
             for row in x:
-                add(row, 0, row[5])
-    for s, flags in zip(strings, judge(strings, [len(places[s]) for s in strings], window), strict=True):
-        if len(places[s]) == 1:
+                add(row, row[4], row[5])
+    for s, flags in zip(strings, judge(strings, [copies[s] for s in strings], window), strict=True):
+        if copies[s] == 1:
+            row = places[s][0]
             for a, b in zip(*runs(flags), strict=True):
-                add(places[s][0], int(a), int(b))
+                add(row, [row[4][0] + int(a)], int(b - a))
     return out if out[0] else None
 
 
@@ -221,6 +226,7 @@ def covered(spans: list[dict] | None, n: int, window: int) -> np.ndarray:
     """Which of n units lie in a window that begins in one of the spans."""
     steps = np.zeros(n + 1, dtype=np.int32)
     for s in spans or ():
-        steps[s["begin"]] += 1
-        steps[s["end"] + window - 1] -= 1
+        begins = np.array(s["begins"])
+        np.add.at(steps, begins, 1)
+        np.add.at(steps, begins + s["n"] + window - 1, -1)
     return np.cumsum(steps)[:n] > 0

@@ -82,7 +82,7 @@ def test_judges():
     assert [f.tolist() for f in count_windows(words, weights, 4)] == plain_flags(words, weights, 4, cut, lambda s: len(s.split()))
     string, own, *_ = WordSequences.window_hashes(words, 4)
     assert list(zip(string.tolist(), own.tolist(), strict=True)) == [(k, i) for k, s in enumerate(words) for i in range(len(s.split()) - 3)]
-    assert covered([{"begin": 1, "end": 3}], 8, 4).tolist() == [False] + [True] * 5 + [False] * 2
+    assert covered([{"begins": [1, 2], "n": 1}], 8, 4).tolist() == [False] + [True] * 5 + [False] * 2
 
 
 def test_bpe_as_the_library():
