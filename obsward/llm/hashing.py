@@ -93,6 +93,23 @@ class Words:
         self.first = np.append(np.searchsorted(self.starts, begin), len(self.starts))
 
 
+def shingle_sets(texts: list[bytes], shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles of the lower-cased texts, cut as in simhash_many: all hashes, rising within a text; where each text's begin, and the total."""
+    words = Words(texts)
+    upper = (words.data >= 65) & (words.data <= 90)
+    words.data[upper] += 32
+    n_words = np.diff(words.first)
+    n_shingles = np.where(n_words > 0, np.maximum(n_words - shingle + 1, 1), 0)
+    of = np.repeat(np.arange(len(texts)), n_shingles)
+    first = words.first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n_shingles) - n_shingles, n_shingles)
+    last = np.minimum(first + shingle, words.first[of + 1]) - 1
+    h = xxh64_many(words.data, words.starts[first], words.ends[last], seed)
+    h = h[np.lexsort((h, of))]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    return h[new], np.append(0, np.cumsum(np.bincount(of[new], minlength=len(texts))))
+
+
 def simhash_many(texts: list[bytes], shingle: int, seed: int = 42) -> np.ndarray:
     """Fingerprints of lower-cased texts: shingles of so many words (a shorter text is one), bits set in over half the hashes; 0 without words."""
     words = Words(texts)

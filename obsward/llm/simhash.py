@@ -7,12 +7,13 @@ from random import Random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsward.llm.common import checkpoint, map_batches, portions, read, utf8
 from obsward.llm.components import components
 from obsward.llm.hashing import simhash_many
+from obsward.llm.similar import keep_one  # noqa: F401
 
 #: Reference fingerprints of the distance table (drawn at random; any set gives the same links).
 _DRAWN = Random(16)
@@ -92,31 +93,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = 5, most: int = 4) -> DataFrame:
-    """The rows of docs, all columns, without near-duplicates: of each component the row with the smallest doc_id stays.
-
-    Links as in near_duplicates, over shingles of five words; 4 of 64 bits stand for a similarity far above 0.8.  Rows
-    that tie in fingerprint and id (repeated rows, null ids) count as copies, of which one stays.
-    """
-    wide = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
-
-    def run(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
-            texts = utf8(batch.column("_text"))
-            found = [simhash_many(texts[a:b], shingle).view(np.int64) for a, b in portions(texts, 1 << 19)]
-            if found:
-                yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), pa.array(np.concatenate(found))], ["_row", "_id", "_fp"])
-
-    def printed(rows: DataFrame) -> DataFrame:
-        return rows.mapInArrow(run, rows.select("_row", "_id").schema.add("_fp", "long"))
-
-    keys = printed(wide.select(F.struct("_id").alias("_row"), "_id", "_text"))
-    by_fp = checkpoint(keys.groupBy("_fp").agg(F.min("_id").alias("least")).withColumnRenamed("_fp", "fp"))
-    roots = components(checkpoint(links(by_fp.select("fp"), most))).withColumnRenamed("node", "fp")
-    rooted = by_fp.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("best")).select(F.col("best.fp").alias("_fp"), F.col("best.least").alias("_least"))
-    rows = printed(wide).join(kept, "_fp").where(F.col("_id").eqNullSafe(F.col("_least")))
-    first = Window.partitionBy("_fp").orderBy("_id")
-    return rows.withColumn("_number", F.row_number().over(first)).where("_number = 1").select("_row.*")
