@@ -5,7 +5,7 @@
    same over and over, equal strings of it are one row with all their places.
 3. Buckets: strings travel to their key's bucket, where a judge finds the repeated windows exactly.  A string that
    stands there twice is repeated as a whole and is judged once.
-4. Hot buckets (over HOT_WINDOWS windows): equal strings are aggregated first, windows of the different ones are counted
+4. Hot buckets (over HOT_WINDOWS windows, or of bytes over HOT_BYTES): equal strings are aggregated first, windows of the different ones are counted
    by a distributed aggregation over 128-bit window hashes, so that no task receives the bucket.
 5. Spans of equal texts are made distinct, gathered by text and joined to the documents.
 """
@@ -25,6 +25,9 @@ from obsward.llm.superkmer import BYTE_SYMBOLS, U, chunks, gram_hashes, key_tabl
 
 #: Windows in the super-k-mers of one key, copies included, beyond which its bucket is not sent to one task.
 HOT_WINDOWS = 50_000
+#: Bytes of the strings of one key, copies included, beyond which a bucket of byte windows is not either: with BATCH_BYTES
+#: of buckets before it, what is judged together stays below the 2**20 symbols that gram_hashes takes.
+HOT_BYTES = 1 << 19
 #: Bytes of strings judged together.
 BATCH_BYTES = 1 << 18
 
@@ -122,7 +125,10 @@ def repeated_spans(texts: DataFrame, units: type, window: int, gram: int, judge:
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in some.values()], pa.int64()), pa.array(h1[text]), pa.array(h2[text]), pa.array([x for _, _, x in some.values()], pa.list_(pa.int32())), pa.array([n for _, n, _ in some.values()], pa.int32()), pa.array([x for _, x in some], pa.binary())], ["key", "h1", "h2", "starts", "n", "packed"])
 
     found = scratch(texts.mapInArrow(candidates, "key bigint, h1 bigint, h2 bigint, starts array<int>, n int, packed binary"))
-    hot_keys = found.groupBy("key").agg(F.sum(F.col("n") * F.size("starts")).alias("windows")).where(F.col("windows") > HOT_WINDOWS)
+    many = F.sum(F.col("n") * F.size("starts")) > HOT_WINDOWS
+    if units is Bytes:
+        many |= F.sum(F.length("packed")) > HOT_BYTES
+    hot_keys = found.groupBy("key").agg(many.alias("many")).where("many")
     hot = key_table(hot_keys)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
