@@ -130,12 +130,14 @@ def usable(rows: DataFrame) -> DataFrame:
 
 
 def build_index(vectors: DataFrame, members: int) -> DataFrame:
-    """dim, shard, node, entry, embedding, members, edges: every different vector, with its smallest `members` ids.
+    """dim, shard, node, entry, embedding, members, edges: every different vector, with its smallest `members` different ids.
 
-    Equal vectors are one node; no result of less than `members` rows can need more ids of it.
+    Equal vectors are one node; no result of less than `members` rows can need more ids of it, or more rows of an id.
     """
+    again = Window.partitionBy("e1", "e2", "vec_id").orderBy("vec_id")
     same = Window.partitionBy("e1", "e2").orderBy("vec_id")
-    some = vectors.withColumn("number", F.row_number().over(same)).where(F.col("number") <= members)
+    once = vectors.withColumn("number", F.row_number().over(again)).where(F.col("number") <= members)
+    some = once.withColumn("number", F.dense_rank().over(same)).where(F.col("number") <= members)
     nodes = checkpoint(some.groupBy("e1", "e2", "dim").agg(F.first("embedding").alias("embedding"), F.sort_array(F.collect_list("vec_id")).alias("members")))
     shards = max(1, -(-nodes.count() // SHARD))
 
