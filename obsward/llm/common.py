@@ -19,11 +19,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Make sure that there is a checkpoint folder: the one that spark.checkpoint.dir names, or where that is unset
-    (a local session in tests) a new one."""
+    """Make sure that there is a checkpoint folder: the one that spark.checkpoint.dir names.  Where that is unset, a
+    local session (one machine, as in tests) gets a new one; on a cluster that is an error, as executors share no disk."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -37,6 +40,19 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(0x5EED), text, F.length(text)).alias("h2")]
 
 
+def join_counted(rows: DataFrame, classes: DataFrame, keys: list[str], count: str, parts: int = 1000) -> DataFrame:
+    """Inner join of rows to classes (one row for each key; `count`: how many of rows have it) without a hot task.
+
+    Keys that hold over a thousandth of all that is counted are fewer than a thousand whatever the input: their classes
+    are broadcast, so their rows stay where they are.  The rest is shuffled.  Both should be checkpointed: they are read
+    twice.
+    """
+    total = classes.agg(F.sum(count)).first()[0] or 0
+    heavy = F.col(count) * parts > total
+    few = F.broadcast(classes.where(heavy))
+    return rows.join(few, keys).unionByName(rows.join(few.select(*keys), keys, "left_anti").join(classes.where(~heavy), keys))
+
+
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Arrow batches of df through a function of one batch."""
 

@@ -6,8 +6,8 @@ import numpy as np
 
 U = np.uint64
 _P1, _P2, _P3, _P4, _P5 = (U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-_IS_SPACE = np.zeros(256, dtype=bool)
-_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+IS_SPACE = np.zeros(256, dtype=bool)
+IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SHINGLES_AT_ONCE = 1 << 16
 _PAD = b"\n" * 8
 
@@ -79,12 +79,12 @@ class Words:
 
     def __init__(self, texts: list[bytes]):
         raw = np.frombuffer(b"\n".join(texts) + _PAD, dtype=np.uint8)
-        space = _IS_SPACE[raw]
+        space = IS_SPACE[raw]
         keep = ~space
         keep[1:] |= ~space[:-1]
         where = np.cumsum(keep)  # of a byte once runs of spaces are one byte, plus one
         self.data = np.concatenate([raw[keep], np.frombuffer(_PAD, dtype=np.uint8)])
-        blank = _IS_SPACE[self.data]
+        blank = IS_SPACE[self.data]
         self.data[blank] = 0x20
         self.starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
         self.ends = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))

@@ -143,32 +143,54 @@ def test_sharding(spark, docs):
 
 
 def plain_lines(rows, least):
-    places = sorted({((1 << 63) - 1 if i is None else i, t) for i, t in rows if t is not None}, key=lambda x: x[0])
-    lines = {p: p[1].split("\n") for p in places}
-    return places, lines
+    """Lines of each row that stay: places in order, all pairs of equal lines, runs along their diagonals."""
+    lines = [[] if t is None else t.split("\n") for _, t in rows]
+    places = {}
+    for k, own in enumerate(lines):
+        for p, x in enumerate(own):
+            places.setdefault(x, []).append((k, p))
+    same = {(a, b) for some in places.values() for i, b in enumerate(some) for a in some[:i]}
+    gone = [set() for _ in rows]
+    for (j, q), (k, p) in same:
+        if ((j, q - 1), (k, p - 1)) in same:
+            continue
+        n = 0
+        while ((j, q + n), (k, p + n)) in same:
+            n += 1
+        if sum(len(x.encode().split()) for x in lines[k][p : p + n]) >= least:
+            gone[k].update(range(p, p + n))
+    return [(i, None if t is None else "\n".join(x for p, x in enumerate(own) if p not in g)) for (i, t), own, g in zip(rows, lines, gone, strict=True)]
+
+
+def ordered(spark, rows):
+    """By id, nulls last, then by the hash that the operator orders by."""
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "k long, t string")
+    key = {r.k: (r.a, r.b) for r in df.select("k", *(c.alias(n) for c, n in zip(line_dedup.text_key(F.col("t")), "ab", strict=True))).collect()}
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, key[k]))
+    return [rows[k] for k in order]
+
+
+def line_texts():
+    r = random.Random(11)
+    short = ["a", "b c", "", "d", "e f g", " ", "h\ti", "a b c d e", "j k l m n o"]
+    out = ["\n".join(r.choice(short) for _ in range(r.randrange(1, 12))) for _ in range(25)]
+    block = "\n".join(r.choice(short[:5]) for _ in range(40))
+    out += [block, "x\n" + block + "\ny", block + "\nz z z z z", "\n".join([""] * 30) + "\nend of blank lines here", "some words begin it all\n" + "\n".join([""] * 30), "u v w\nu v w\nu v w"]
+    return out + ["w1 w2\nw3\nw4 w5", "q\nw1 w2\nw3\nw4 w5\nq", "w1 w2\nw3\nw4 w6"]
 
 
 def test_line_dedup(spark):
-    texts = {0: "a b c d e\nx\ny\nz", 1: "x\ny\nz\nq", 2: "a b c d e\nx\ny\nz\nnew words to keep here", 3: "u v w\nu v w\nu v w", 4: "", 5: None, 6: "u v w\nu v w", 7: "l1 a\nl2 b\nl3 c\nl4 d", 8: "l1 a\nl2 b\nl3 c\nl4 d"}
-    rows = [*texts.items(), (8, texts[8]), (None, "a b c d e")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_chars": F.lit(0), "pos": F.lit(1), "h": F.lit(1)})
+    rows = [*enumerate(line_texts()), (100, ""), (101, None), (None, "a b c d e"), (None, "w1 w2\nw3\nw4 w5"), (None, "w1 w2\nw3\nw4 w5"), (None, None), (3, "w1 w2\nw3\nw4 w5\nr"), ((1 << 63) - 1, "w1 w2\nw3\nw4 w5")]
+    rows += [rows[25], (110, rows[25][1]), (111, rows[3][1])]
+    R.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumns({"n_chars": F.lit(0), "pos": F.lit(1), "h1": F.lit(1), "none": F.lit(1), "_spans": F.lit(1)})
     got = line_dedup.without_repeated_lines(df)
     assert got.columns == df.columns
-    seen, first = set(), {}
-    order = sorted((((1 << 63) - 1 if i is None else i), t) for i, t in dict.fromkeys(rows) if t is not None)
-    for i, t in order:
-        lines = t.split("\n")
-        gone = set()
-        for length in (1, 2, 4, 8):
-            for p in range(len(lines) - length + 1):
-                run = (length, tuple(lines[p : p + length]))
-                if run in first and len(" ".join(run[1]).split()) >= 5:
-                    gone.update(range(p, p + length))
-                first.setdefault(run, (i, p))
-        seen.add((i, "\n".join(x for k, x in enumerate(lines) if k not in gone)))
-    expected = Counter(({((1 << 63) - 1 if i is None else i): i}[(1 << 63) - 1 if i is None else i], None if t is None else dict(seen)[(1 << 63) - 1 if i is None else i]) for i, t in rows)
-    assert Counter((r.doc_id, r.text) for r in got.collect()) == expected
-    assert all(r.n_chars == len(r.text) for r in got.collect() if r.text is not None)
+    found = got.collect()
+    expected = plain_lines(ordered(spark, rows), 5)
+    same([(x.doc_id, x.text) for x in found], expected)
+    assert ("q\nq") in {t for _, t in expected}  # a run of 2, 1 and 2 words
+    assert all(x.n_chars == len(x.text) for x in found if x.text is not None)
     assert line_dedup.without_repeated_lines(df.where("false")).count() == 0
 
 
