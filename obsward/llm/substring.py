@@ -13,27 +13,29 @@ from obsward.llm.repeats import WordSequences, covered, with_spans
 GRAM = 10
 
 
-def count_windows(strings: list[bytes], weights: list[int], window: int) -> list[np.ndarray]:
-    """Sort the windows of the strings; those that occur twice, weights counted, are flagged."""
+def count_windows(strings: list[bytes], weights: list[int], window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sort the windows of the strings: those that stand twice or more, weights counted, and the first place of each."""
     windows: list[tuple[bytes, int, int]] = []
-    flags = []
+    out = []
     for k, s in enumerate(strings):
         ends = [*np.flatnonzero(np.frombuffer(s, dtype=np.uint8) == 0x20).tolist(), len(s)]
         begins = [0, *(e + 1 for e in ends[:-1])]
         n = len(ends) - window + 1
-        flags.append(np.zeros(n, dtype=bool))
+        out.append((np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)))
         windows += [(s[begins[i] : ends[i + window - 1]], k, i) for i in range(n)]
     windows.sort()
     a = 0
     while a < len(windows):
-        b, same = a + 1, windows[a][0]
+        same, k, i = windows[a]
+        b = a + 1
         while b < len(windows) and windows[b][0] == same:
             b += 1
-        if b - a > 1 or weights[windows[a][1]] > 1:
+        out[k][1][i] = True
+        if b - a > 1 or weights[k] > 1:
             for _, k, i in windows[a:b]:
-                flags[k][i] = True
+                out[k][0][i] = True
         a = b
-    return flags
+    return out
 
 
 def remove_repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -41,15 +43,16 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
 
     A word goes if a window of so many consecutive words that covers it also starts anywhere else, in the same document
     too; all copies go.  Windows are judged on the input.  A null text has no words; texts shorter than a window keep
-    theirs.  Rows that repeat count as documents of their own.
+    theirs.  Rows that repeat, null ids too, count as documents of their own.  Texts of any length are worked on whole; an
+    empty table gives no rows; columns other than doc_id and text are not looked at.
     """
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_words, n_removed, kept = [], [], []
-        for text, spans in zip(utf8(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
+        for text, spans, whole in zip(utf8(batch.column("text")), batch.column("spans").to_pylist(), batch.column("whole").to_pylist(), strict=True):
             words = text.split()
-            if spans:
-                gone = covered(spans, len(words), window)
+            gone = covered(spans, whole, len(words), window)
+            if gone is not None:
                 rest = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
             else:
                 rest = words
@@ -62,6 +65,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """remove_repeated_windows of documents at 35 words, with the hash of what stays."""
     return remove_repeated_windows(read(spark, sf_dir, "documents")).selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256) AS kept_sha256")
 
 

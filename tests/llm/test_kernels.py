@@ -8,7 +8,7 @@ import tiktoken
 import xxhash
 
 from obsward.llm import ann, bpe, gsaca, hashing, media, superkmer
-from obsward.llm.repeats import Bytes, WordSequences, covered
+from obsward.llm.repeats import Bytes, covered
 from obsward.llm.substring import count_windows
 from obsward.llm.suffix_dedup import judge_by_suffixes
 
@@ -66,23 +66,26 @@ def plain_flags(strings, weights, window, cut=lambda s, i, w: s[i : i + w], size
     for s, w in zip(strings, weights, strict=True):
         for i in range(size(s) - window + 1):
             count[cut(s, i, window)] = count.get(cut(s, i, window), 0) + w
-    return [[count[cut(s, i, window)] > 1 for i in range(size(s) - window + 1)] for s in strings]
+    return [[count[cut(s, i, window)] > 1 for i in range(size(s) - window + 1)] for s in strings], count
+
+
+def judged(judge, strings, weights, window, cut=lambda s, i, w: s[i : i + w], size=len):
+    expected, count = plain_flags(strings, weights, window, cut, size)
+    got = judge(strings, weights, window)
+    assert [f.tolist() for f, _ in got] == expected
+    picked = [cut(s, i, window) for s, (_, p) in zip(strings, got, strict=True) for i in np.flatnonzero(p).tolist()]
+    assert sorted(picked) == sorted(count)
 
 
 def test_judges():
     strings = [bytes(R.choice(b"ab") for _ in range(R.randrange(12, 60))) for _ in range(40)]
     strings = list(dict.fromkeys([*strings, b"ab" * 20]))
-    weights = [1 if R.random() < 0.7 else 2 for _ in strings]
-    plain = plain_flags(strings, weights, 12)
-    got = judge_by_suffixes(strings, weights, 12)
-    assert all(g.tolist() == p for g, p, w in zip(got, plain, weights, strict=True) if w == 1)
+    judged(judge_by_suffixes, strings, [1 if R.random() < 0.7 else 2 for _ in strings], 12)
     words = list(dict.fromkeys(" ".join(R.choice("abc") for _ in range(R.randrange(4, 20))).encode() for _ in range(40)))
     cut = lambda s, i, w: tuple(s.split()[i : i + w])
-    weights = [1] * len(words)
-    assert [f.tolist() for f in count_windows(words, weights, 4)] == plain_flags(words, weights, 4, cut, lambda s: len(s.split()))
-    string, own, *_ = WordSequences.window_hashes(words, 4)
-    assert list(zip(string.tolist(), own.tolist(), strict=True)) == [(k, i) for k, s in enumerate(words) for i in range(len(s.split()) - 3)]
-    assert covered([{"begins": [1, 2], "n": 1}], 8, 4).tolist() == [False] + [True] * 5 + [False] * 2
+    judged(count_windows, words, [1 if R.random() < 0.9 else 2 for _ in words], 4, cut, lambda s: len(s.split()))
+    assert covered([{"begins": [1, 2], "n": 1}], False, 8, 4).tolist() == [False] + [True] * 5 + [False] * 2
+    assert covered(None, True, 8, 4).all() and covered(None, True, 3, 4) is None and covered(None, False, 8, 4) is None
 
 
 def test_bpe_as_the_library():

@@ -69,9 +69,10 @@ def plain_repeats(units, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [50_000, 20])
-def test_substring_and_suffix_dedup(docs, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT_WINDOWS", hot)
+@pytest.mark.parametrize("most", [50_000, 20])
+def test_substring_and_suffix_dedup(docs, monkeypatch, most):
+    """In one round, and in several where a task takes few windows."""
+    monkeypatch.setattr(repeats, "TASK_WINDOWS", most)
     rows = rows_of(docs)
     units = [raw(t).split() for _, t in rows]
     expected = [(i, len(u), sum(g), b" ".join(w for w, x in zip(u, g, strict=True) if not x)) for (i, _), u, g in zip(rows, units, plain_repeats(units, 35), strict=True)]
