@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from obsward.functions.validity import Param, clean, is_scalar, is_valid, param, sure
 from obsward.operators.spatial_join import elsewhere, largest, near, placed, within
-from obsward.stages import cut
+from obsward.stages import stored
 from obsward.types import DEFAULT, Columns, CoordinateType
 
 
-def _checked(df: DataFrame, radius: Param, num_min: Param, obs_to_check: Param | None, kind: CoordinateType | int | str, cols: Columns, elevated: bool, compat: str) -> tuple[DataFrame, DataFrame]:
+def _checked(df: DataFrame, radius: Param, num_min: Param, obs_to_check: Param | None, kind: CoordinateType | int | str, cols: Columns, elevated: bool, compat: str, once: bool) -> tuple[DataFrame, DataFrame]:
     """df with _good, whether a row begins unflagged; and the placed stations.
 
     Rows with invalid values begin flagged: under compat "exact" with a scalar num_min only the first row is looked at,
@@ -27,12 +27,13 @@ def _checked(df: DataFrame, radius: Param, num_min: Param, obs_to_check: Param |
         raise RuntimeError("num_min must be positive")
     good = is_valid(cols.value)
     if compat == "exact" and is_scalar(num_min):
-        good = good | sure(F.col(cols.id) != F.lit(df.agg(F.min(cols.id)).first()[0]))
+        least = df.agg(F.min(cols.id))  # a subquery of the only job, unless later jobs build on its result
+        good = good | sure(F.col(cols.id) != (least.scalar() if once else F.lit(least.first()[0])))
     df = df.withColumn("_good", good)
     value = param(cols.value).cast("double")
     return df, placed(df, kind, cols).select(
         cols.id, "x", "y", "z", "_good",
-        F.when(F.isnan(value), None).otherwise(value).alias("raw"), clean(cols.value).alias("value"),
+        F.when(~F.isnan(value), value).alias("raw"),
         (clean(cols.elev) if elevated else F.lit(None).cast("double")).alias("elev"),
         param(radius).cast("double").alias("radius"), number.alias("num_min"),
         (F.lit(True) if obs_to_check is None else sure(param(obs_to_check) == 1)).alias("wanted"),
@@ -42,39 +43,35 @@ def _checked(df: DataFrame, radius: Param, num_min: Param, obs_to_check: Param |
 def _rounds(df: DataFrame, stations: DataFrame, radius: Param, max_elev_diff: float, elev_gradient: float, num_iterations: int, cols: Columns, sums: Callable[[Column], list[Column]], bad: Column) -> DataFrame:
     """The rounds that both checks share.
 
-    sums: aggregates over the buddies, given their adjusted value (null if invalid).  bad: what they say of a station.
-    A round reads the flags of the one before it, so the order of the rows doesn't matter; it ends early when no flag is
-    added.  A single round aggregates the pairs as they are joined; for several they are kept.
+    sums: aggregates over the buddies, given their adjusted value (null, NaN and infinite as they are).  bad: what they say
+    of a station.  A round reads the flags of the one before it, so the order of the rows doesn't matter.  Pairs are
+    aggregated as they are joined and never kept: after the first round only stations with a newly flagged buddy can
+    change, so only these are joined again.  The rounds end early when no flag is added.
     """
-    adjusted, condition = F.col("p.value"), within(F.col("q.radius")) & elsewhere()
+    adjusted, condition = F.col("p.raw"), within(F.col("q.radius")) & elsewhere()
     if max_elev_diff > 0:
         condition = condition & (F.abs(F.col("q.elev") - F.col("p.elev")) <= max_elev_diff)
         adjusted = adjusted + (F.col("q.elev") - F.col("p.elev")) * elev_gradient
     edge = float(radius) if is_scalar(radius) else largest(stations, F.col("radius"))
-    points = stations.where("_good").select(cols.id, "x", "y", "z", "value", "elev")
-    found = near(stations.where("_good AND wanted"), points, edge, condition, cols.id)
-    pairs = found.select(F.col(f"q.{cols.id}").alias("a"), F.col("q.raw").alias("raw"), F.col("q.num_min").alias("num_min"), F.col(f"p.{cols.id}").alias("b"), adjusted.alias("adjusted"))
-    if num_iterations > 1:
-        pairs = pairs.persist()
-    gone = None
-    for _ in range(num_iterations):
-        held = pairs
-        if gone is not None:
-            held = held.join(gone.withColumnRenamed(cols.id, "a"), "a", "left_anti").join(gone.withColumnRenamed(cols.id, "b"), "b", "left_anti")
-        judged = held.groupBy("a", "raw", "num_min").agg(F.count("*").alias("n"), *sums(F.col("adjusted")))
-        new = judged.where((F.col("n") >= F.col("num_min")) & sure(bad)).select(F.col("a").alias(cols.id))
-        if num_iterations == 1:
-            gone = new
-            break
-        new = cut(new)
-        if new.isEmpty():
-            gone = new if gone is None else gone
-            break
-        gone = new if gone is None else cut(gone.unionByName(new))
+    points = stations.where("_good").select(cols.id, "x", "y", "z", "raw", "elev")
+    queries = stations.where("_good AND wanted")
+
+    def judged(queries: DataFrame, points: DataFrame) -> DataFrame:
+        found = near(queries, points, edge, condition, cols.id)
+        own = [F.first(F.col(f"q.{c}")).alias(c) for c in ("raw", "num_min")]
+        every = found.groupBy(F.col(f"q.{cols.id}").alias(cols.id)).agg(F.count("*").alias("n"), *own, *sums(adjusted))
+        return every.where((F.col("n") >= F.col("num_min")) & sure(bad)).select(cols.id)
+
+    gone = judged(queries, points)
     if num_iterations > 1:
-        pairs.unpersist()
-    if gone is None:
-        return df.withColumn(cols.flag, F.when(F.col("_good"), 0).otherwise(1)).drop("_good")
+        new = gone = stored(gone)
+        for _ in range(1, num_iterations):
+            if new.isEmpty():
+                break
+            queries, left = queries.join(new, cols.id, "left_anti"), points.join(gone, cols.id, "left_anti")
+            touched = near(queries, points.join(new, cols.id, "left_semi"), edge, condition, cols.id).select(f"q.{cols.id}").distinct()
+            new = stored(judged(queries.join(touched, cols.id, "left_semi"), left))
+            gone = gone.unionByName(new)
     marked = df.drop(cols.flag).join(gone.withColumn("_now", F.lit(True)), cols.id, "left")
     return marked.withColumn(cols.flag, F.when(F.col("_good") & F.col("_now").isNull(), 0).otherwise(1)).drop("_good", "_now")
 
@@ -86,13 +83,18 @@ def buddy_check(df: DataFrame, radius: Param, num_min: Param, threshold: float,
     the gradient.  The deviation is that of the population, widened for the mean's own error, at least min_std.
     An invalid neighbour leaves its station unflagged.  radius, num_min: scalars or columns.
     """
-    df, stations = _checked(df, radius, num_min, obs_to_check, kind, cols, max_elev_diff > 0, compat)
+    df, stations = _checked(df, radius, num_min, obs_to_check, kind, cols, max_elev_diff > 0, compat, num_iterations == 1)
+
+    own = F.when(is_valid(F.col("q.raw")), F.col("q.raw")).otherwise(0.0)
 
     def sums(v: Column) -> list[Column]:
-        return [F.count_if(v.isNull()).alias("invalid"), F.avg(v).alias("mean"), F.var_pop(v).alias("var")]
+        off = v - own  # sums about the station's own value lose no digits that its distance to the mean doesn't outweigh
+        return [F.sum(F.when(is_valid(v), 0).otherwise(1)).alias("invalid"), F.sum(off).alias("s1"), F.sum(off * off).alias("s2"), F.first(own).alias("own")]
 
-    sd = F.greatest(F.sqrt(F.col("var") + F.col("var") / F.col("n")), F.lit(float(min_std)))
-    bad = (F.col("invalid") == 0) & (F.abs(F.col("raw") - F.col("mean")) > threshold * sd)
+    mean = F.col("s1") / F.col("n")
+    var = F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0))
+    sd = F.greatest(F.sqrt(var + var / F.col("n")), F.lit(float(min_std)))
+    bad = (F.col("invalid") == 0) & (F.abs(F.col("raw") - F.col("own") - mean) > threshold * sd)
     return _rounds(df, stations, radius, max_elev_diff, elev_gradient, num_iterations, cols, sums, bad)
 
 
@@ -101,7 +103,7 @@ def buddy_event_check(df: DataFrame, radius: Param, num_min: Param, event_thresh
 
     threshold below 1: a fraction of the neighbours, else a number of them.  Invalid values are no events.
     """
-    df, stations = _checked(df, radius, num_min, obs_to_check, kind, cols, max_elev_diff > 0, compat)
+    df, stations = _checked(df, radius, num_min, obs_to_check, kind, cols, max_elev_diff > 0, compat, num_iterations == 1)
 
     def sums(v: Column) -> list[Column]:
         return [F.count_if(sure(v < event_threshold)).alias("events")]

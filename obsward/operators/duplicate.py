@@ -38,11 +38,16 @@ def duplicate_check(df: DataFrame, radius: float, vertical_range: float | None =
 
 
 def _covered(edges: DataFrame) -> DataFrame:
-    """Ids that a kept earlier neighbour covers."""
-    state = cut(edges.select("id").union(edges.select("earlier")).distinct().withColumn("state", F.lit(0)))  # 0 undecided, 1 kept, 2 gone
-    while True:
-        around = edges.join(state.select(F.col("id").alias("earlier"), F.col("state").alias("s")), "earlier").groupBy("id").agg(F.max((F.col("s") == 1).cast("int")).alias("kept"), F.max((F.col("s") == 0).cast("int")).alias("open"))
-        decided = F.when(F.col("state") > 0, F.col("state")).when(F.coalesce("kept", F.lit(0)) == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0)
-        state = cut(state.join(around, "id", "left").select("id", decided.alias("state")))
-        if state.where("state = 0").isEmpty():
-            return state.where("state = 2").select("id")
+    """Ids that a kept earlier neighbour covers.
+
+    Only pairs of undecided stations go on from round to round: those without an undecided earlier neighbour are kept,
+    what they cover goes, and with it every pair it is in.
+    """
+    gone = edges.select("id").where("false")
+    while not edges.isEmpty():
+        kept = edges.select(F.col("earlier")).distinct().join(edges.select(F.col("id").alias("earlier")), "earlier", "left_anti")
+        new = cut(edges.join(kept, "earlier", "left_semi").select("id").distinct())
+        left = edges.join(new, "id", "left_anti").join(new.select(F.col("id").alias("earlier")), "earlier", "left_anti")
+        edges = cut(left.select("id", "earlier"))
+        gone = gone.unionByName(new)
+    return gone

@@ -1,4 +1,4 @@
-"""Spatial joins by cells: each query looks at its own and the 26 adjacent cells of a cubic grid, an equi-join."""
+"""Spatial joins by cells: each query looks at the cells of a cubic grid that its radius reaches, an equi-join."""
 
 from __future__ import annotations
 
@@ -15,6 +15,8 @@ from obsward.types import DEFAULT, Columns, CoordinateType
 
 #: Least cell edge in metres; a radius of 0 finds the stations at one place.
 LEAST_EDGE = 1.0
+#: Estimated bytes of queries up to which they are dealt over the cores before they are joined.
+SMALL = 256 << 20
 
 
 def placed(df: DataFrame, kind: CoordinateType | int | str = CoordinateType.Geodetic, cols: Columns = DEFAULT) -> DataFrame:
@@ -38,20 +40,26 @@ def largest(df: DataFrame, radius: Param) -> float:
     return float(df.agg(F.max(param(radius))).first()[0] or 0.0)
 
 
-def near(queries: DataFrame, points: DataFrame, edge: float, condition: Column, by: str) -> DataFrame:
-    """Inner join of placed queries (alias q) and points (alias p) in adjacent cells under a condition.
+def _few_splits(df: DataFrame) -> bool:
+    """Whether so little is read that a scan may be one split, which one core would work on alone."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
 
-    The edge must not be below any query's radius.  Only the queries are multiplied; a point has one cell, so no pair
-    comes twice.  Dense cells are left to adaptive skew joins.  The queries are dealt by `by` first: what a scan reads as
-    one split is then worked on by all cores, and where the points are small enough to be broadcast, an aggregate by that
-    column needs no other shuffle.
+
+def near(queries: DataFrame, points: DataFrame, radius: float, condition: Column, by: str) -> DataFrame:
+    """Inner join of placed queries (alias q) and points (alias p) under a condition that no pair further apart meets.
+
+    Cells have twice the radius as edge, so a query looks at one or two of them along each axis, three and a half on
+    average; a point has one, so no pair comes twice.  Dense cells are left to adaptive skew joins.  Small inputs are
+    dealt by `by` first, so that all cores work on the pairs.
     """
-    edge = max(edge, LEAST_EDGE)
-    queries = queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
-    x, y, z = _cell(edge)
-    around = F.array(*[_key(x + dx, y + dy, z + dz) for dx, dy, dz in product((-1, 0, 1), repeat=3)])
-    q = queries.withColumn("_cell", F.explode(around)).alias("q")
-    p = points.withColumn("_cell", _key(x, y, z)).alias("p")
+    reach = max(radius, LEAST_EDGE / 2) * (1 + 1e-9)
+    edge = F.lit(2 * reach)
+    if _few_splits(queries):
+        queries = queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+    for c in "xyz":
+        queries = queries.withColumn(f"_{c}", F.explode(F.sequence(F.floor((F.col(c) - reach) / edge), F.floor((F.col(c) + reach) / edge))))
+    q = queries.withColumn("_cell", _key(F.col("_x"), F.col("_y"), F.col("_z"))).drop("_x", "_y", "_z").alias("q")
+    p = points.withColumn("_cell", _key(*[F.floor(F.col(c) / edge) for c in "xyz"])).alias("p")
     return q.join(p, (F.col("q._cell") == F.col("p._cell")) & condition)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from obsward.functions import calc_distance, calc_distance_fast, compute_quantile, convert_coordinates, find_k_closest
 from obsward.operators import buddy, consistency, duplicate, isolation, pointwise, spatial_join, timeseries
 from obsward.operators.background_frame import theil_sen, vertical_profiles
+from obsward.plans import consistency_sql
 from obsward.plans.pipeline import QCPipeline
 from obsward.types import Columns
 
@@ -98,23 +99,27 @@ def buddy_event_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sct(spark: SparkSession, d: str) -> DataFrame:
-    return consistency.sct(stations(spark, d), 5, 50, 20_000, 30_000, 2, 20, 100, 10_000, 200, 4, 4, 0.5).select("station_id", F.col("flag").cast("int").alias("flag"), F.round("prob_gross_error", 4).alias("prob_gross_error"))
+    found = consistency.sct(stations(spark, d), 3, 5, 15_000, 30_000, 3, -1, 100, 10_000, 200, 2, 2, 0.5)
+    return found.select("station_id", F.col("flag").cast("int").alias("flag"), F.round("prob_gross_error", 4).alias("prob_gross_error"))
 
 
-def _ranges(df: DataFrame) -> DataFrame:
-    return df.withColumns({"mina": F.col("value") - 20, "maxa": F.col("value") + 20, "minv": F.col("value") - 1, "maxv": F.col("value") + 1})
+def _ranges(df: DataFrame, admissible: float, tolerance: float) -> DataFrame:
+    v = F.col("value")
+    return df.withColumns({"mina": v - admissible, "maxa": v + admissible, "minv": v - tolerance, "maxv": v + tolerance})
 
 
 def sct_resistant(spark: SparkSession, d: str) -> DataFrame:
-    return _flags(consistency.sct_resistant(_ranges(stations(spark, d)), 3, 20, 10_000, 20_000, 2, 10, 100, 10_000, 100_000, 3, 200, "mina", "maxa", "minv", "maxv", 0.5, 4, 4, background_type="MedianOuterCircle"))
+    df = _ranges(stations(spark, d), 20, 1)
+    return _flags(consistency.sct_resistant(df, 3, 5, 10_000, 20_000, 2, 10, 100, 10_000, 100_000, 3, 200, "mina", "maxa", "minv", "maxv", 0.5, 2, 2, background_type="MedianOuterCircle"))
 
 
 def sct_dual(spark: SparkSession, d: str) -> DataFrame:
-    return _flags(consistency.sct_dual(stations(spark, d), 45, "Gt", 3, 20, 10_000, 20_000, 2, 10_000, 100_000, 3, 200, 0.5))
+    return _flags(consistency.sct_dual(stations(spark, d), 25, "Gt", 3, 5, 10_000, 20_000, 2, 10_000, 100_000, 3, 2000, 0.2))
 
 
 def first_guess(spark: SparkSession, d: str) -> DataFrame:
-    return _flags(consistency.fgt(_ranges(stations(spark, d)), 3, 20, 10_000, 20_000, 2, 10, 100, "mina", "maxa", "minv", "maxv", 4, 4, background_type="MedianOuterCircle"))
+    df = _ranges(stations(spark, d), 20, 1)
+    return _flags(consistency.fgt(df, 3, 20, 10_000, 20_000, 2, 10, 100, "mina", "maxa", "minv", "maxv", 2, 2, background_type="MedianOuterCircle"))
 
 
 def lag_reduction(spark: SparkSession, d: str) -> DataFrame:
@@ -195,13 +200,10 @@ def _buddy_sql(flags: str, new: str, k: int, num_min: int, adjusted: str, where:
 _ZERO = "f0 AS (SELECT station_id, 0 AS flag FROM g)"
 
 
-def _steps(value: str, lats: list, temps: list) -> str:
-    whens = " ".join(f"WHEN {value} > {b} THEN {v} + ({value} - {a}) * CAST({(w - v) / (b - a)!r} AS DOUBLE)" for a, b, v, w in zip(lats, lats[1:], temps, temps[1:], strict=False) if b < a)
-    return f"CASE {whens} END"
-
-
-_CLIMATE = _steps("lat", pointwise.MEAN_LATS, pointwise.MEAN_TEMPS) + " + " + _steps("lat", pointwise.SEASON_LATS, pointwise.SEASON_RANGES)
-_MONTHS = "CASE month(DATE '1970-01-01' + CAST(station_id * 11 AS INTEGER)) " + " ".join(f"WHEN {m + 1} THEN {w}" for m, w in enumerate(pointwise.MONTH_WEIGHTS)) + " END"
+# Expected temperatures at latitudes 55 to 60, written out: lines between tabled latitudes, a weight by month.
+_CLIMATE = "(5 - (lat - 60) / 2) + (30 + (lat - 60) * 7 / 15)"
+_MONTHS = """CASE month(DATE '1970-01-01' + CAST(station_id * 11 AS INTEGER)) WHEN 1 THEN -1 WHEN 2 THEN -0.6 WHEN 3 THEN -0.3 WHEN 4 THEN 0 WHEN 5 THEN 0.3
+  WHEN 6 THEN 0.6 WHEN 7 THEN 1 WHEN 8 THEN 0.6 WHEN 9 THEN 0.3 WHEN 10 THEN 0 WHEN 11 THEN -0.3 ELSE -0.6 END"""
 
 ORACLE_SQL: dict[str, str] = {
     "range_check": f"{_S} SELECT station_id, CAST(CASE WHEN value < 10 OR value > 50 THEN 1 ELSE 0 END AS INTEGER) AS flag FROM s",
@@ -227,17 +229,22 @@ SELECT station_id, CAST(CASE WHEN n >= 5 AND (own AND e / n <= 0.1 OR NOT own AN
     "theil_sen_profile": f"""{_S}, t AS (SELECT *, CAST(floor(lat) AS INTEGER) AS area FROM s),
 m AS (SELECT a.area, median(CASE WHEN abs(a.elev - b.elev) < 1 THEN 0 ELSE (a.value - b.value) / (a.elev - b.elev) END) AS slope FROM t a JOIN t b ON a.area = b.area AND a.station_id < b.station_id GROUP BY a.area)
 SELECT area, round(slope, 8) AS slope, round(median(value - slope * elev), 4) AS intercept FROM t JOIN m USING (area) GROUP BY area, slope""",
+    "sct": consistency_sql.spatial_consistency(STATIONS, PARTS, 3, 5, 15_000, 30_000, 3, 10_000, 200, 2, 0.5),
+    "sct_resistant": consistency_sql.resistant(STATIONS, PARTS, 3, 5, 10_000, 20_000, 2, (10_000, 100_000, 3, 200), 20, 1, 0.5, 2),
+    "sct_dual": consistency_sql.dual(STATIONS, PARTS, "p.v > 25", 3, 5, 10_000, 20_000, 2, (10_000, 100_000, 3, 2000), 0.2),
+    "first_guess_test": consistency_sql.first_guess(STATIONS, PARTS, 3, 20, 10_000, 20_000, 2, 20, 1, 2),
+    "vertical_profile": consistency_sql.profiles(STATIONS, "CAST(floor(lat) AS INTEGER)"),
     "check_pipeline": f"""{_S}, pairs AS ({_PAIRS.format(30000)}), r AS (SELECT station_id, CASE WHEN value < -20 OR value > 70 THEN 1 ELSE 0 END AS flag FROM g),
 i AS (SELECT r.station_id, CASE WHEN r.flag = 1 OR coalesce(n, 0) < 2 THEN 1 ELSE 0 END AS flag FROM r LEFT JOIN (SELECT a, count(*) AS n FROM pairs JOIN r x ON x.station_id = a AND x.flag = 0 JOIN r y ON y.station_id = b AND y.flag = 0 GROUP BY a) ON a = r.station_id),
 {_buddy_sql('i', 'f1', 1, 5, 'vb', 'TRUE')} SELECT station_id, CAST(flag AS INTEGER) AS flag FROM f1""",
     "duplicate_check": f"""WITH RECURSIVE s AS ({STATIONS}), g AS (SELECT *, {PARTS} FROM s),
 e AS (SELECT a.station_id AS id, list(b.station_id) AS earlier FROM g a JOIN g b ON b.station_id < a.station_id AND {_DIST} <= 8000 GROUP BY a.station_id),
-o AS (SELECT station_id, row_number() OVER (ORDER BY station_id) AS k, coalesce(earlier, []) AS earlier FROM g LEFT JOIN e ON id = station_id),
+o AS MATERIALIZED (SELECT station_id, row_number() OVER (ORDER BY station_id) AS k, coalesce(earlier, []) AS earlier FROM g LEFT JOIN e ON id = station_id),
 w AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept UNION ALL
   SELECT o.k, CASE WHEN len(list_intersect(o.earlier, w.kept)) = 0 THEN list_append(w.kept, o.station_id) ELSE w.kept END FROM w JOIN o ON o.k = w.k + 1)
 SELECT station_id, CAST(CASE WHEN list_contains((SELECT kept FROM w ORDER BY k DESC LIMIT 1), station_id) THEN 0 ELSE 1 END AS INTEGER) AS flag FROM g""",
     "lag_reduction_filter": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, epoch_us(ts) / 1e6 AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS k FROM events),
-d AS (SELECT a.user_id, a.us, a.k, b.value AS f0, a.value AS f1, (a.value - b.value) / (a.t - b.t) AS slope FROM e a JOIN e b ON a.user_id = b.user_id AND a.k = b.k + 1),
+d AS MATERIALIZED (SELECT a.user_id, a.us, a.k, b.value AS f0, a.value AS f1, (a.value - b.value) / (a.t - b.t) AS slope FROM e a JOIN e b ON a.user_id = b.user_id AND a.k = b.k + 1),
 r AS (SELECT user_id, us, k, value AS filtered FROM e WHERE k = 1 UNION ALL
   SELECT d.user_id, d.us, d.k, list_reduce([r.filtered, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10], lambda c, i: c + 0.05 * (
     4 * (0.5 * d.slope + 0.0625 * (d.f0 + i * 0.1 * (d.f1 - d.f0) - c)) + 4 * (0.5 * d.slope + 0.0625 * (d.f0 + (i + 1) * 0.1 * (d.f1 - d.f0) - c))))

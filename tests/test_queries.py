@@ -5,7 +5,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from obsward.plans.stations import ORACLE_SQL, QUERIES, entry
+from obsward.plans.registry import ORACLE_SQL, QUERIES
+from obsward.plans.stations import entry
 
 SF = Path("/root/testdata/sf0.001")
 
