@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from obsward.llm.common import checkpoint, read, scratch
 
 #: Vectors of a shard, edges of a node, nodes of a query's beam (two thirds of it while building), how much nearer an edge's end must be to make another needless.
-SHARD, DEGREE, BEAM, RELAXED = 1024, 28, 96, 1.2
-#: Queries searched together, and sent to a shard at once.
-TOGETHER, BLOCK = 128, 20_000
+SHARD, DEGREE, BEAM, RELAXED = 32_768, 32, 96, 1.2
+#: Cells that vectors are dealt over by their nearest centre, at most; cells that a query is sent to.
+CELLS, PROBES = 4096, 8
+#: Vectors that the centres of the cells are fitted on for each cell, and rounds of that fit.
+FITTED_ON, ROUNDS = 16, 6
+#: Queries searched together, nodes inserted together, queries sent to a shard at once.
+TOGETHER, INSERTED, BLOCK = 128, 512, 20_000
 
 
 def _list_of(kind: pa.DataType) -> pa.DataType:
@@ -30,58 +39,94 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
-def beam_search(points: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query: the beam's nodes and similarities, nearest first (-1 where fewer were met), and all nodes expanded.
+def beam_search(points: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """For each query: the beam's nodes and similarities, nearest first (-1 where fewer were met), and the nodes expanded
+    (padded with -1); and how many similarities were computed.
 
     All queries step together: each expands its nearest node not yet expanded, until its whole beam is.
     edges: neighbours of each node, padded with -1.
     """
     q, n = len(queries), len(points)
-    rows = np.arange(q)[:, None]
     nodes = np.full((q, beam), -1)
     near = np.full((q, beam), -np.inf, dtype=np.float32)
     nodes[:, 0], near[:, 0] = entry, queries @ points[entry]
+    done = np.zeros((q, beam), dtype=bool)
     seen = np.zeros((q, n + 1), dtype=bool)
-    expanded = np.zeros((q, n + 1), dtype=bool)
     seen[:, [entry, n]] = True  # n stands for no node
+    path, met = [], q
     while True:
-        open_ = np.where((nodes >= 0) & ~expanded[rows, nodes], near, -np.inf)
+        open_ = np.where((nodes >= 0) & ~done, near, -np.inf)
         best = open_.argmax(axis=1)
         on = np.flatnonzero(open_[np.arange(q), best] > -np.inf)
         if not len(on):
-            return nodes, near, expanded[:, :n]
+            return nodes, near, np.stack(path, axis=1), met
         at = nodes[on, best[on]]
-        expanded[on, at] = True
+        done[on, best[on]] = True
+        path.append(np.full(q, -1))
+        path[-1][on] = at
         next_ = edges[at]
         next_ = np.where(next_ < 0, n, next_)
         fresh = ~seen[on[:, None], next_]
         seen[on[:, None], next_] = True
+        met += int(fresh.sum())
         found = np.einsum("qrd,qd->qr", points[np.minimum(next_, n - 1)], queries[on])
         found[~fresh] = -np.inf
         all_near = np.concatenate([near[on], found], axis=1)
         all_nodes = np.concatenate([nodes[on], np.where(fresh, next_, -1)], axis=1)
+        all_done = np.concatenate([done[on], np.zeros(found.shape, dtype=bool)], axis=1)
         order = np.argsort(-all_near, axis=1, kind="stable")[:, :beam]
-        near[on] = np.take_along_axis(all_near, order, axis=1)
-        nodes[on] = np.take_along_axis(all_nodes, order, axis=1)
-
-
-def _prune(points: np.ndarray, node: int, candidates: np.ndarray, degree: int, relaxed: float) -> np.ndarray:
-    """Diverse edges: the nearest candidate is kept and those that it is `relaxed` times nearer to than the node go, until none is left."""
-    candidates = candidates[candidates != node]
-    own = np.sqrt(np.maximum(2 - 2 * (points[candidates] @ points[node]), 0))
-    order = np.argsort(own, kind="stable")
-    candidates, own = candidates[order], own[order]
-    between = np.sqrt(np.maximum(2 - 2 * (points[candidates] @ points[candidates].T), 0))
-    alive = np.ones(len(candidates), dtype=bool)
-    kept = []
-    while len(kept) < degree:
-        k = int(alive.argmax()) if len(alive) else 0
-        if not len(alive) or not alive[k]:
+        near[on], nodes[on], done[on] = (np.take_along_axis(x, order, axis=1) for x in (all_near, all_nodes, all_done))
+
+
+def _prune(points: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree: int, relaxed: float) -> np.ndarray:
+    """Diverse edges of many nodes, padded with -1: the nearest candidate is kept and those that it is `relaxed` times
+    nearer to than the node go, until none is left.  candidates: a row for each node, padded with -1."""
+    candidates = np.sort(candidates, axis=1)
+    bad = (candidates < 0) | (candidates == nodes[:, None])
+    bad[:, 1:] |= candidates[:, 1:] == candidates[:, :-1]
+    vectors = points[np.maximum(candidates, 0)]
+    own = 2 - 2 * np.einsum("ncd,nd->nc", vectors, points[nodes])
+    own[bad] = np.inf
+    order = np.argsort(own, axis=1, kind="stable")
+    candidates, own = (np.take_along_axis(x, order, axis=1) for x in (candidates, own))
+    vectors = np.take_along_axis(vectors, order[:, :, None], axis=1)
+    between = relaxed * relaxed * (2 - 2 * (vectors @ vectors.transpose(0, 2, 1)))
+    alive = np.isfinite(own)
+    kept = np.full((len(nodes), degree), -1)
+    rows = np.arange(len(nodes))
+    for d in range(degree):
+        first = alive.argmax(axis=1)
+        on = alive[rows, first]
+        if not on.any():
             break
-        kept.append(candidates[k])
-        alive[k] = False
-        alive &= relaxed * between[k] > own
-    return np.array(kept, dtype=np.int64)
+        kept[on, d] = candidates[on, first[on]]
+        alive &= between[rows, first] > own
+        alive[rows, first] = False
+    return kept
+
+
+def _add_back(points: np.ndarray, edges: np.ndarray, sources: np.ndarray, targets: np.ndarray, degree: int, relaxed: float) -> None:
+    """Edges from targets to sources, pruned where a node has too many."""
+    order = np.argsort(targets, kind="stable")
+    sources, targets = sources[order], targets[order]
+    cut = np.flatnonzero(np.concatenate([[True], targets[1:] != targets[:-1]]))
+    nodes, size = targets[cut], np.diff(np.append(cut, len(targets)))
+    place = np.arange(len(targets)) - np.repeat(cut, size)
+    for few in np.array_split(np.argsort(size, kind="stable"), max(1, len(nodes) // INSERTED)):  # rows of like length
+        more = np.full((len(few), int(size[few].max()) if len(few) else 0), -1)
+        row = np.full(len(nodes), -1)
+        row[few] = np.arange(len(few))
+        of = np.repeat(row, size)
+        more[of[of >= 0], place[of >= 0]] = sources[of >= 0]
+        both = np.concatenate([edges[nodes[few]], more], axis=1)
+        both = -np.sort(-both, axis=1)
+        both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
+        both = -np.sort(-both, axis=1)
+        full = (both >= 0).sum(axis=1) > degree
+        out = both[:, :degree]
+        if full.any():
+            out[full] = _prune(points, nodes[few][full], both[full], degree, relaxed)
+        edges[nodes[few], : out.shape[1]] = out
 
 
 def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM * 2 // 3, relaxed: float = RELAXED) -> tuple[np.ndarray, int]:
@@ -99,25 +144,13 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM * 2 /
     for round_ in range(2):
         a = 0
         while a < len(order):
-            b = min(len(order), a + (TOGETHER if round_ else max(1, min(a, TOGETHER))))
+            b = min(len(order), a + (INSERTED if round_ else max(1, min(a, INSERTED))))
             batch = order[a:b]
-            nodes, _, expanded = beam_search(points, edges, entry, points[batch], beam)
-            back: dict[int, list[int]] = {}
-            for i, node in enumerate(batch.tolist()):
-                near = np.union1d(np.flatnonzero(expanded[i]), nodes[i][nodes[i] >= 0])
-                own = edges[node][edges[node] >= 0]
-                kept = _prune(points, node, np.union1d(near, own) if len(own) else near, degree, relaxed)
-                edges[node] = -1
-                edges[node, : len(kept)] = kept
-                for k in kept.tolist():
-                    back.setdefault(k, []).append(node)
-            for node, more in back.items():
-                old = edges[node][edges[node] >= 0]
-                both = np.union1d(old, more)
-                if len(both) > degree:
-                    both = _prune(points, node, both, degree, relaxed)
-                edges[node] = -1
-                edges[node, : len(both)] = both
+            nodes, _, path, _ = beam_search(points, edges, entry, points[batch], beam)
+            kept = _prune(points, batch, np.concatenate([nodes, path, edges[batch]], axis=1), degree, relaxed)
+            edges[batch] = kept
+            some = kept >= 0
+            _add_back(points, edges, np.repeat(batch, some.sum(axis=1)), kept[some], degree, relaxed)
             a = b
     return edges, entry
 
@@ -129,29 +162,83 @@ def usable(rows: DataFrame) -> DataFrame:
     return fit.select("vec_id", "embedding", F.size("embedding").alias("dim"), F.xxhash64("embedding").alias("e1"), F.xxhash64(F.lit(1), "embedding").alias("e2"))
 
 
-def build_index(vectors: DataFrame, members: int) -> DataFrame:
-    """dim, shard, node, entry, embedding, members, edges: every different vector, with its smallest `members` different ids.
+@dataclass
+class Index:
+    """shards: dim, cell, part, node, entry, embedding, members, edges; parts: dim, cell, parts (shards of the cell);
+    centres: unit vectors of the cells of the dimensions that have several."""
+
+    shards: DataFrame
+    parts: DataFrame
+    centres: dict[int, np.ndarray]
+
+
+def _fit_centres(sample: np.ndarray, cells: int) -> np.ndarray:
+    """Centres of so many cells by a few rounds of spherical k-means."""
+    centres = sample[np.random.default_rng(cells).permutation(len(sample))[:cells]]
+    for _ in range(ROUNDS):
+        nearest = np.concatenate([(sample[a : a + 4096] @ centres.T).argmax(axis=1) for a in range(0, len(sample), 4096)])
+        total = np.zeros_like(centres)
+        np.add.at(total, nearest, sample)
+        some = np.abs(total).max(axis=1) > 0
+        centres[some] = _unit(total[some])
+    return centres
+
+
+def _to_cells(rows: DataFrame, centres: Broadcast, most: int) -> DataFrame:
+    """rows (dim, embedding and others) with cells: the `most` cells with the nearest centres, nearest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            cells: list[list[int]] = [[0]] * batch.num_rows
+            for dim in set(dims.tolist()) & set(centres.value):
+                on = np.flatnonzero(dims == dim)
+                for k in range(0, len(on), 4096):
+                    some = on[k : k + 4096]
+                    near = _unit(_matrix(pa.chunked_array([batch.column("embedding").take(pa.array(some))]))) @ centres.value[dim].T
+                    for i, x in zip(some.tolist(), np.argsort(-near, axis=1, kind="stable")[:, :most].tolist(), strict=True):
+                        cells[i] = x
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("cells", ArrayType(IntegerType()))]))
+
+
+def build_index(vectors: DataFrame, members: int, shard: int = SHARD) -> Index:
+    """Every different vector (as usable() gives them), with its smallest `members` different ids, in graphs of about `shard` nodes.
 
     Equal vectors are one node; no result of less than `members` rows can need more ids of it, or more rows of an id.
+    Where a dimension has more vectors than a shard takes, they are dealt over cells by their nearest centre (at most
+    CELLS in all; the centres are fitted on FITTED_ON vectors for each cell, drawn by hash), and a cell that has more than
+    a shard takes is split into parts by hash.  An empty table gives an empty index.
     """
     again = Window.partitionBy("e1", "e2", "vec_id").orderBy("vec_id")
     same = Window.partitionBy("e1", "e2").orderBy("vec_id")
     once = vectors.withColumn("number", F.row_number().over(again)).where(F.col("number") <= members)
     some = once.withColumn("number", F.dense_rank().over(same)).where(F.col("number") <= members)
     nodes = checkpoint(some.groupBy("e1", "e2", "dim").agg(F.first("embedding").alias("embedding"), F.sort_array(F.collect_list("vec_id")).alias("members")))
-    shards = max(1, -(-nodes.count() // SHARD))
+    large = {r.dim: r.n for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).where(F.col("n") > shard).orderBy(F.desc("n")).limit(CELLS // 2).collect()}
+    centres = {}
+    for dim, n in large.items():
+        cells = min(-(-n // shard), max(2, CELLS * n // sum(large.values())))
+        sample = nodes.where(F.col("dim") == dim).orderBy("e1", "e2").limit(FITTED_ON * cells).select("embedding").toArrow()
+        centres[dim] = _fit_centres(_unit(_matrix(sample.column("embedding"))), cells)
+    shared = nodes.sparkSession.sparkContext.broadcast(centres)
+    celled = checkpoint(_to_cells(nodes, shared, 1).withColumn("cell", F.element_at("cells", 1)).drop("cells"))
+    parts = checkpoint(celled.groupBy("dim", "cell").agg(F.expr(f"CAST(CEIL(COUNT(*) / {shard}) AS INT)").alias("parts")))
 
     def build(group: pa.Table) -> pa.Table:
         group = group.sort_by([("e1", "ascending"), ("e2", "ascending")])
         edges, entry = build_graph(_unit(_matrix(group.column("embedding"))))
         n = group.num_rows
         return pa.table({
-            "dim": group.column("dim"), "shard": group.column("shard"), "node": pa.array(np.arange(n), pa.int32()), "entry": pa.array(np.full(n, entry), pa.int32()),
+            "dim": group.column("dim"), "cell": group.column("cell"), "part": group.column("part"), "node": pa.array(np.arange(n), pa.int32()), "entry": pa.array(np.full(n, entry), pa.int32()),
             "embedding": group.column("embedding").cast(_list_of(pa.float64())), "members": group.column("members").cast(_list_of(pa.int64())), "edges": pa.array(edges.tolist(), _list_of(pa.int32())),
         })
 
-    placed = nodes.withColumn("shard", F.expr(f"CAST(pmod(e1, {shards}L) AS INT)"))
-    return scratch(placed.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, node int, entry int, embedding array<double>, members array<bigint>, edges array<int>"))
+    # a row for each cell, of which there are no more than CELLS besides one for each small dimension
+    placed = celled.join(parts, ["dim", "cell"]).withColumn("part", F.expr("CAST(pmod(e1, parts) AS INT)"))
+    shards = placed.groupBy("dim", "cell", "part").applyInArrow(build, "dim int, cell int, part int, node int, entry int, embedding array<double>, members array<bigint>, edges array<int>")
+    return Index(scratch(shards), parts, centres)
 
 
 def _cosines(points: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -160,18 +247,22 @@ def _cosines(points: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return total(points * queries) / (np.sqrt(total(points * points)) * np.sqrt(total(queries * queries)))
 
 
-def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each row of queries (as usable() gives them).
 
-    Different query vectors go to every shard of their dimension, in blocks; each shard's graph is searched with a
-    beam and answers with the k + 1 best, by exact cosines.  Ties: the smaller vec_id first.
+    Different query vectors go to the PROBES cells with the nearest centres, to all shards of each, in blocks; a shard's
+    graph is searched with a beam and answers with the k + 1 best, by exact cosines.  Ties: the smaller vec_id first.
+    A query is no candidate of its own: rows with its id aren't.  Queries whose dimension the index lacks find nothing.
     """
-    asked = checkpoint(queries.groupBy("e1", "e2", "dim").agg(F.first("embedding").alias("embedding")))
-    blocks = max(1, -(-asked.count() // BLOCK))
-    shards = index.select("dim", "shard").distinct()
-    there = shards.groupBy("dim").agg(F.collect_list("shard").alias("shards"))
-    sent = asked.join(F.broadcast(there), "dim").select("dim", F.explode("shards").alias("shard"), F.expr(f"CAST(pmod(e2, {blocks}L) AS INT)").alias("block"), "e1", "e2", F.col("embedding").alias("query"))
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = queries.groupBy("e1", "e2", "dim").agg(F.first("embedding").alias("embedding"))
+    shared = queries.sparkSession.sparkContext.broadcast(index.centres)
+    sent = scratch(_to_cells(asked, shared, PROBES).select("dim", F.explode("cells").alias("cell"), "e1", "e2", F.col("embedding").alias("query")))
+    loads = sent.groupBy("dim", "cell").agg(F.expr(f"CAST(CEIL(COUNT(*) / {BLOCK}) AS INT)").alias("blocks"))
+    load = scratch(index.parts.join(loads, ["dim", "cell"]))
+    sent = sent.join(load.toDF("dim", "cell", "parts", "blocks"), ["dim", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sent = sent.withColumn("block", F.expr("CAST(pmod(e2, blocks) AS INT)"))
+    turns = load.select("dim", "cell", (F.col("blocks") - 1).alias("last"))
+    held = index.shards.join(turns, ["dim", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), "last")))
     names = ["e1", "e2", "score", "members"]
 
     def look(points: pa.Table, asked: pa.Table) -> pa.Table:
@@ -183,7 +274,7 @@ def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             edges = _matrix(points.column("edges"), np.int64)
             members = points.column("members").combine_chunks()
             for a in range(0, len(ask), TOGETHER):
-                nodes, _, _ = beam_search(unit, edges, points.column("entry")[0].as_py(), ask[a : a + TOGETHER], BEAM)
+                nodes, *_ = beam_search(unit, edges, points.column("entry")[0].as_py(), ask[a : a + TOGETHER], BEAM)
                 of, place = np.nonzero(nodes >= 0)
                 node = nodes[of, place]
                 score = _cosines(exact[node], wanted[a + of])
@@ -196,7 +287,7 @@ def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         empty = pa.table({"e1": pa.array([], pa.int64()), "e2": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "members": pa.array([], _list_of(pa.int64()))})
         return pa.concat_tables([t.cast(empty.schema) for t in found]).select(names) if found else empty
 
-    keys = ["dim", "shard", "block"]
+    keys = ["dim", "cell", "part", "block"]
     got = held.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(look, "e1 bigint, e2 bigint, score double, members array<bigint>")
     best = Window.partitionBy("e1", "e2").orderBy(F.desc("score"), F.element_at("members", 1))
     near = got.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).select("e1", "e2", "score", F.explode("members").alias("vec_id"))
@@ -206,6 +297,7 @@ def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def op9_graph_search(spark: SparkSession, sf_dir: str, every: int = 50, k: int = 5) -> DataFrame:
+    """The k nearest of every vector of embeddings whose vec_id is divisible by `every`, found in the index of all."""
     vectors = usable(read(spark, sf_dir, "embeddings"))
     return search(build_index(vectors, k + 1), vectors.where(F.col("vec_id") % every == 0), k)
 

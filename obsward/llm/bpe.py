@@ -13,11 +13,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from obsward.llm.common import map_batches, read, utf8
 
-#: Split pattern of the vocabularies this operator is used with (a fixed value).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Short pre-tokens whose ids a worker keeps, about 150 bytes each.
 CACHED_PIECES, CACHED_BYTES = 1_000_000, 48
 
@@ -27,7 +26,7 @@ BIT = [1 << k for k in range(256)]
 class Codec:
     """Encodes and decodes by a table of token ranks; a token's id is its rank."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.pairs = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
@@ -36,7 +35,7 @@ class Codec:
         self.cache = _Pieces(self)
 
     @classmethod
-    def load(cls, path: str, pattern: str = PATTERN) -> Codec:
+    def load(cls, path: str, pattern: str) -> Codec:
         with open(path, "rb") as f:
             return cls({base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}, pattern)
 
@@ -154,21 +153,36 @@ class _Pieces(dict):
 _loaded: dict[tuple[str, str], Codec] = {}
 
 
-def codec(path: str, pattern: str = PATTERN) -> Codec:
-    """One codec for each vocabulary and worker."""
+def split_pattern() -> str:
+    """How the public vocabularies split a text into pre-tokens."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def codec(path: str, pattern: str | None = None) -> Codec:
+    """One codec for each vocabulary and worker; by default with the vocabularies' own pattern."""
+    pattern = pattern or split_pattern()
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = Codec.load(path, pattern)
     return _loaded[path, pattern]
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def encode_documents(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
     """All columns of docs and `token_ids` (binary, little-endian unsigned 32-bit), `n_tokens`.
 
-    A null or empty text has no tokens.  Rows are independent: nothing is shuffled.  Columns of docs with these two
-    names are replaced.
+    A null or empty text has no tokens; texts of any length are encoded whole.  Rows are independent, repeated ones too:
+    nothing is shuffled.  Columns of docs with these two names are replaced, others may have any names.  An empty table
+    gives no rows.
     """
     kept = [c for c in docs.columns if c not in ("token_ids", "n_tokens")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
+    some = docs.select(*[F.col(_quoted(c)) for c in kept])
+    schema = StructType([*some.schema.fields, StructField("token_ids", BinaryType()), StructField("n_tokens", LongType())])
+    pattern = pattern or split_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
@@ -176,13 +190,15 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = PATTERN) -> Data
             packed = [own.encode_packed(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())], [*kept, "token_ids", "n_tokens"])
 
-    return docs.select(*kept).mapInArrow(run, f"{schema}, token_ids binary, n_tokens bigint")
+    return some.mapInArrow(run, schema)
 
 
-def decode_documents(encoded: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
-    """All columns of encoded and `decoded` (binary) from `token_ids`."""
+def decode_documents(encoded: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
+    """All columns of encoded and `decoded` (binary) from `token_ids`; null ids decode to nothing."""
     kept = [c for c in encoded.columns if c != "decoded"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*kept).schema)
+    some = encoded.select(*[F.col(_quoted(c)) for c in kept])
+    schema = StructType([*some.schema.fields, StructField("decoded", BinaryType())])
+    pattern = pattern or split_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
@@ -190,11 +206,16 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str = PATTERN) -> D
             decoded = [own.decode_packed(p or b"") for p in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*kept, "decoded"])
 
-    return encoded.select(*kept).mapInArrow(run, f"{schema}, decoded binary")
+    return some.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: both ways in one pass, so that ids and texts stay in the worker."""
+def round_trip(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: both ways in one pass, so that ids and texts stay in the worker.
+
+    A null text counts as empty and has no tokens.  Texts of any length are encoded whole, as the library would, repeated
+    rows each for itself; an empty table gives no rows; other columns are not looked at.
+    """
+    pattern = pattern or split_pattern()
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = codec(path, pattern)
@@ -217,4 +238,5 @@ def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """round_trip of documents by the public multilingual vocabulary."""
     return round_trip(read(spark, sf_dir, "documents"), vocabulary())

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsward.llm.common import checkpoint
+from obsward.llm.common import checkpoint, join_counted
 
 #: Nodes that a task holds while it looks for links that connect nothing new.
 HELD = 500_000
@@ -52,8 +52,9 @@ def components(links: DataFrame) -> DataFrame:
     In each round a node takes the first of its neighbours and itself, in an order drawn anew for the round, as label,
     and labels follow labels once.  Then the links are contracted: their ends become labels, links within one label go
     and equal ones become one.  A round leaves a fraction of the nodes whatever the shape, a long chain too, so the
-    rounds grow with the logarithm of the input.  Every round is checkpointed; all that reaches the driver is whether
-    links are left.
+    rounds grow with the logarithm of the input.  Nodes with many links and large groups are joined by broadcast (fewer
+    than a thousand can hold over a thousandth of all).  Every round is checkpointed; all that reaches the driver is
+    whether links are left, and counts.
     """
     edges = checkpoint(forest(links))
     groups = checkpoint(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("group", F.col("node")))
@@ -62,14 +63,16 @@ def components(links: DataFrame) -> DataFrame:
         round_ += 1
         rank = lambda c: F.struct(F.xxhash64(F.lit(round_), c), F.col(c).alias("node"))  # noqa: B023, E731
         ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        first = ends.groupBy("a").agg(F.min(rank("b")).alias("other")).select(F.col("a").alias("node"), F.least(rank("a"), F.col("other"))["node"].alias("label"))
+        first = ends.groupBy("a").agg(F.min(rank("b")).alias("other"), F.count("*").alias("degree")).select(F.col("a").alias("node"), "degree", F.least(rank("a"), F.col("other"))["node"].alias("label"))
         first = checkpoint(first)
-        above = first.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        labels = checkpoint(first.join(above, "label").select("node", F.col("above").alias("label")))
-        left = edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a")
-        both = left.join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").where("x <> y")
+        taken = first.groupBy("label").agg(F.count("*").alias("takers"))
+        above = checkpoint(first.select(F.col("node").alias("label"), F.col("label").alias("above")).join(taken, "label"))
+        labels = checkpoint(join_counted(first, above, ["label"], "takers").select("node", "degree", F.col("above").alias("label")))
+        left = checkpoint(join_counted(edges, labels.select(F.col("node").alias("a"), "degree", F.col("label").alias("x")), ["a"], "degree").drop("degree"))
+        both = join_counted(left, labels.select(F.col("node").alias("b"), "degree", F.col("label").alias("y")), ["b"], "degree").where("x <> y")
         edges = checkpoint(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        moved = labels.select(F.col("node").alias("group"), "label")
-        groups = checkpoint(groups.join(moved, "group", "left").select("node", F.coalesce("label", "group").alias("group")))
-    least = groups.groupBy("group").agg(F.min("node").alias("root"))
-    return groups.join(least, "group").select("node", "root")
+        sizes = groups.groupBy("group").agg(F.count("*").alias("members"))
+        moved = checkpoint(sizes.join(labels.select(F.col("node").alias("group"), "label"), "group", "left").select("group", "members", F.coalesce("label", "group").alias("label")))
+        groups = checkpoint(join_counted(groups, moved, ["group"], "members").select("node", F.col("label").alias("group")))
+    least = checkpoint(groups.groupBy("group").agg(F.min("node").alias("root"), F.count("*").alias("members")))
+    return join_counted(groups, least, ["group"], "members").select("node", "root")

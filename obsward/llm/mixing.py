@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from obsward.llm.common import SPACE, read
@@ -32,8 +32,11 @@ class Targets:
         return {"source": self.source, "lang": self.lang, "topic": self.topic}
 
 
-#: Share of all tokens to sample, sweeps over the three marginals, halvings of the interval of the sampling rate.
+#: Share of all tokens to sample at most, sweeps over the three marginals, halvings of the interval of the sampling rate.
 BUDGET, SWEEPS, HALVINGS = 0.7, 25, 60
+#: Share of the wanted tokens that may be missing because cells are taken whole: no reached share of a value is further
+#: from its target than that.  Where the targets and the budget can't both be met, the budget gives way.
+MISSING = 0.01
 
 
 def tokens(text: Column) -> Column:
@@ -78,11 +81,11 @@ def cell_probabilities(cells: DataFrame, targets: Targets, budget: float) -> Dat
     step = f"TRANSFORM(f, (g, d) -> IF(d = k % 3, ZIP_WITH(g, ZIP_WITH({target}, {sums}, (t, s) -> IF(s > 0, t / s, 1D)), (a, b) -> a * b), g))"
     one = one.withColumn("f", F.expr(f"AGGREGATE(SEQUENCE(0, {3 * SWEEPS - 1}), {_array(ones)}, (f, k) -> {step})"))
     one = one.withColumn("want", F.expr(f"TRANSFORM(cells, c -> {weight})"))
-    # the rate at which the expected tokens, with no document drawn more than once, are the budget
+    # the highest rate at which the expected tokens, no document drawn more than once, are within the budget and lack little
     expected = "AGGREGATE(ZIP_WITH(cells, want, (c, x) -> LEAST(c.w, (r.lo + r.hi) / 2 * total * x)), 0D, (s, x) -> s + x)"
     top = "AGGREGATE(ZIP_WITH(cells, want, (c, x) -> IF(x > 0, c.w / (total * x), 0D)), 0D, (s, x) -> GREATEST(s, x))"
     one = one.withColumn("top", F.expr(top)).withColumn("rate", F.expr(
-        f"AGGREGATE(SEQUENCE(1, {HALVINGS}), NAMED_STRUCT('lo', 0D, 'hi', top), (r, k) -> IF({expected} < {float(budget)}D * total, NAMED_STRUCT('lo', (r.lo + r.hi) / 2, 'hi', r.hi), NAMED_STRUCT('lo', r.lo, 'hi', (r.lo + r.hi) / 2)), r -> r.hi)"
+        f"AGGREGATE(SEQUENCE(1, {HALVINGS}), NAMED_STRUCT('lo', 0D, 'hi', top), (r, k) -> IF({expected} < {float(budget)}D * total AND {expected} >= (1 - {MISSING}D) * (r.lo + r.hi) / 2 * total, NAMED_STRUCT('lo', (r.lo + r.hi) / 2, 'hi', r.hi), NAMED_STRUCT('lo', r.lo, 'hi', (r.lo + r.hi) / 2)), r -> r.hi)"
     ))
     each = one.select(F.expr("INLINE(ZIP_WITH(cells, want, (c, x) -> NAMED_STRUCT('c0', c.c0, 'c1', c.c1, 'c2', c.c2, 'probability', LEAST(1D, rate * total * x / c.w))))"))
     return each
@@ -98,10 +101,12 @@ def mixed(docs: DataFrame, targets: Targets | None = None, budget: float = BUDGE
     """_row (struct of all columns of docs), _tokens, _topic, _probability, _drawn for every row of docs.
 
     Tokens are words.  Token weights of the cells source, language, topic are raked to the three target marginals; a
-    cell's sampling probability is its raked weight over its own, at the rate that makes the expected sample `budget`
-    of all tokens, at most 1.  Where many cells reach 1 the marginals are met less closely.  Documents without tokens
+    cell's sampling probability is its raked weight over its own at a common rate, at most 1: the highest rate at which
+    the expected sample is `budget` of all tokens and the cells that would need more than 1 lack at most MISSING of it, so
+    that every marginal is reached within MISSING of what raking gave.  Documents without tokens (null and empty texts)
     have probability 1: they carry no weight.  Columns source, lang or topic that docs lack count as null (topic: by
-    length).
+    length).  Rows equal in id are drawn alike; null ids by their text.  An empty table gives no rows; texts of any length
+    count whole; columns of docs may have any names.
     """
     targets = targets or Targets()
     has = set(docs.columns)
@@ -120,12 +125,34 @@ def mixed(docs: DataFrame, targets: Targets | None = None, budget: float = BUDGE
     return joined.select("_row", "_tokens", "_topic", chance.alias("_probability"), drawn(F.col("_row.doc_id"), F.col("_row.text"), seed).alias("_drawn"))
 
 
+def reached(mixture: DataFrame, targets: Targets | None = None) -> DataFrame:
+    """dimension, value, wanted, available, expected: for each configured value with tokens, its target (relative to
+    those that have tokens; null for the rest "*"), its share of all tokens and of those the sample is expected to hold.
+
+    mixture: as mixed() gives it.
+    """
+    targets = targets or Targets()
+    has = set(mixture.schema["_row"].dataType.names)
+    found = []
+    for name, wanted in targets.dimensions().items():
+        value = F.col("_topic") if name == "topic" else F.col(f"_row.{name}").cast("string") if name in has else F.lit(None).cast("string")
+        known = F.when(value.isin([k for k in wanted if k != REST]), value).otherwise(REST)
+        found.append(mixture.groupBy(known.alias("value")).agg(F.sum("_tokens").alias("all"), F.sum(F.col("_tokens") * F.col("_probability")).alias("kept")).select(F.lit(name).alias("dimension"), "*"))
+    every = found[0].unionByName(found[1]).unionByName(found[2]).where("all > 0")
+    goals = every.sparkSession.createDataFrame([(d, k, float(w)) for d, some in targets.dimensions().items() for k, w in some.items()], "dimension string, value string, goal double")
+    whole = Window.partitionBy("dimension")
+    joined = every.join(F.broadcast(goals), ["dimension", "value"], "left").withColumns({"available": F.col("all") / F.sum("all").over(whole), "expected": F.col("kept") / F.sum("kept").over(whole)})
+    free = F.coalesce(F.sum(F.when(F.col("goal").isNull(), F.col("available"))).over(whole), F.lit(0.0))
+    return joined.select("dimension", "value", (F.col("goal") * (1 - free) / F.sum("goal").over(whole)).alias("wanted"), "available", "expected")
+
+
 def sample(docs: DataFrame, targets: Targets | None = None, budget: float = BUDGET, seed: int = 5) -> DataFrame:
     """The sampled rows of docs, all columns."""
     return mixed(docs, targets, budget, seed).where("_drawn < _probability").select("_row.*")
 
 
 def op5_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the default targets sample, with their probability."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     return mixed(docs).where("_drawn < _probability").select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"), F.col("_row.lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_probability", 6).alias("probability"))
 
@@ -150,7 +177,8 @@ x AS (SELECT c0, c1, c2, w, x FROM f WHERE k = 75),
 a AS (SELECT list({'w': w, 'x': x}) AS cells, max(w / (total * x)) AS top, any_value(total) AS total FROM x, t),
 r AS (SELECT 0 AS k, CAST(0 AS DOUBLE) AS lo, top AS hi FROM a
   UNION ALL SELECT k + 1, CASE WHEN low THEN (lo + hi) / 2 ELSE lo END, CASE WHEN low THEN hi ELSE (lo + hi) / 2 END
-  FROM (SELECT r.*, list_sum(list_transform(cells, lambda c: least(c.w, (lo + hi) / 2 * total * c.x))) < 0.7e0 * total AS low FROM r, a WHERE k < 60)),
+  FROM (SELECT r.*, have < 0.7e0 * total AND have >= (1 - 0.01e0) * (lo + hi) / 2 * total AS low
+    FROM (SELECT r.*, total, list_sum(list_transform(cells, lambda c: least(c.w, (lo + hi) / 2 * total * c.x))) AS have FROM r, a WHERE k < 60))),
 p AS (SELECT c0, c1, c2, least(1, hi * total * x / w) AS probability FROM x, t, (SELECT hi FROM r WHERE k = 60))
 SELECT doc_id, source, lang, topic, n_tokens, round(CASE WHEN n_tokens = 0 THEN 1 ELSE probability END, 6) AS probability
 FROM b LEFT JOIN p ON p.c0 = b.c0 AND p.c1 = b.c1 AND p.c2 = b.c2

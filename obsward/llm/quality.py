@@ -10,18 +10,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsward.llm.common import checkpoint, portions, read, utf8
+from obsward.llm.common import checkpoint, join_counted, portions, read, scratch, utf8
 from obsward.llm.hashing import Words, xxh64_many
 
 U = np.uint64
 #: Labelled documents that the classifier is fitted on, the first in the order of their ids' hashes.
 FITTED_ON = 8_000
+#: Different words and beginnings of a labelled text that the lexicon is drawn from (in fitting only; scoring looks at all).
+SAMPLED_WORDS = 20_000
 #: Bytes of a word's beginning that are a feature beside the whole word.
 PREFIX = 5
 #: Documents a word must mark, and how many times more often it must stand in them, to enter the lexicon; its size.
 LEAST_DOCS, LEAST_RATIO, LEXICON = 3, 8.0, 4_000
-#: Sites up to which their table is broadcast; beyond it is joined by shuffle.
-BROADCAST_SITES = 20_000
 _SYMBOLS = b"|!%&$#*@<>{}=_~^\\/;:()[]\"'-+.,?"
 _LETTER_CASE = [bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b"\n", b"\xc3"]
 _CLASSES = [bytes([c]) for c in _SYMBOLS] + _LETTER_CASE
@@ -118,15 +118,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """text, quality, toxic of at most so many labelled documents.  Labels that contradict each other: the worse holds."""
+def sampled_labels(labels: DataFrame, most: int = FITTED_ON) -> DataFrame:
+    """doc_id, quality, toxic of at most so many labelled documents, the first in the order of their ids' hashes.  Labels
+    that contradict each other: the worse holds.  Labels with a null in them don't count."""
     sure = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    some = sure.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").select("text", "quality", "toxic")
+    return sure.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = FITTED_ON) -> Model:
-    """Fit on labelled_sample.  The driver receives the features of these documents, never more than `most` of them.
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit on documents with labels (as sampled_labels() gives them, so at most FITTED_ON).  The driver receives their
+    features; of the words of one text at most SAMPLED_WORDS different ones, the first in the order of their hashes.
 
     Without labels, or with labels of one kind only, the part concerned is neutral: nothing is rejected for it.
     """
@@ -138,11 +139,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FITTED_ON) -> Model:
                 words, whole, begun = _words(texts[a:b])
                 shape = shapes(texts[a:b], words, whole)
                 cut = words.first.tolist()
-                ids = [np.unique(np.concatenate([whole[i:j], begun[i:j]])).view(np.int64) for i, j in zip(cut, cut[1:])]  # noqa: B905
+                ids = [np.unique(np.concatenate([whole[i:j], begun[i:j]]))[:SAMPLED_WORDS].view(np.int64) for i, j in zip(cut, cut[1:])]  # noqa: B905
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([pa.array(shape.tolist(), pa.list_(pa.float64())), pa.array([x.tolist() for x in ids], pa.list_(pa.int64())), part.column("quality").cast(pa.int32()), part.column("toxic").cast(pa.int32())], ["shape", "ids", "quality", "toxic"])
 
-    got = labelled_sample(docs, labels, most).mapInArrow(rows, "shape array<double>, ids array<bigint>, quality int, toxic int").toArrow()
+    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(labels), "doc_id").select("text", "quality", "toxic")
+    got = known.mapInArrow(rows, "shape array<double>, ids array<bigint>, quality int, toxic int").toArrow()
     width = len(_CLASSES) + 6
     if got.num_rows == 0:
         return Model(np.zeros(width), np.ones(width), np.concatenate([[4.0], np.zeros(width)]))
@@ -182,9 +184,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FITTED_ON) -> Model:
     return model
 
 
-def scored(docs: DataFrame, model: Model, host: Column, path: Column) -> DataFrame:
-    """_row (struct of all columns of docs), _host, _path, _good, _toxic (log odds from the text alone)."""
-    wide = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.coalesce(host.cast("string"), F.lit("")).alias("_host"), F.coalesce(path.cast("string"), F.lit("")).alias("_path"))
+def scored(docs: DataFrame, model: Model, host: Column, path: Column, kept: list[str] | None = None) -> DataFrame:
+    """_row (struct of the kept columns of docs, all by default), _id, _host, _path, _good, _toxic (log odds from the text alone)."""
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if kept is None else kept)]).alias("_row")
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    wide = docs.select(row, F.col("doc_id").cast("long").alias("_id"), text(F.col("text")).alias("_text"), text(host).alias("_host"), text(path).alias("_path"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,62 +197,85 @@ def scored(docs: DataFrame, model: Model, host: Column, path: Column) -> DataFra
             parts = [shared.value.score(texts[a:b]) for a, b in portions(texts, 1 << 19)]
             if parts:
                 good, toxic = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_row", "_host", "_path")), pa.array(good), pa.array(toxic)], ["_row", "_host", "_path", "_good", "_toxic"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_row", "_id", "_host", "_path")), pa.array(good), pa.array(toxic)], ["_row", "_id", "_host", "_path", "_good", "_toxic"])
 
-    schema = wide.select("_row", "_host", "_path").schema.add("_good", "double").add("_toxic", "double")
+    schema = wide.select("_row", "_id", "_host", "_path").schema.add("_good", "double").add("_toxic", "double")
     return wide.mapInArrow(run, schema)
 
 
-def _p(logit: str) -> Column:
-    return 1 / (1 + F.exp(-F.col(logit)))
+KINDS = ("good", "toxic")
 
 
-def site_posteriors(scores: DataFrame) -> DataFrame:
-    """_host, _path, shift_good, shift_toxic: how far a site's posterior log odds lie from the global prior's.
+def with_counts(scores: DataFrame, labels: DataFrame) -> DataFrame:
+    """scores with count_good, count_toxic, what a document adds to its site's counts: its label where it has one (labels:
+    as sampled_labels() gives them, so few), else the classifier's probability."""
+    known = labels.select(F.col("doc_id").alias("_id"), (F.col("quality") > 0).cast("double").alias("known_good"), (F.col("toxic") > 0).cast("double").alias("known_toxic"))
+    counts = [F.coalesce(f"known_{k}", 1 / (1 + F.exp(-F.col(f"_{k}")))).alias(f"count_{k}") for k in KINDS]
+    return scores.join(F.broadcast(known), "_id", "left").select(*scores.columns, *counts)
 
-    Expected counts (sums of document probabilities) are aggregated by path and by host.  A host's share is shrunk
-    toward the global share, a path's toward its host's posterior.  The strength of each prior is the number of
-    documents it is worth, by the method of moments: p(1 - p) within against the variance between sites, held between
-    5 and 1000.  Sites with few documents so keep near their parents.
+
+@dataclass(frozen=True)
+class Prior:
+    """Shares of all documents, and how many documents a prior is worth at hosts and at paths, by kind."""
+
+    share: dict[str, float]
+    at_host: dict[str, float]
+    at_path: dict[str, float]
+
+
+def site_counts(scores: DataFrame) -> tuple[DataFrame, Prior]:
+    """_host, _path, n, good, toxic, hn, h_good, h_toxic: expected counts of each path and of its host; and the priors.
+
+    The strength of a prior is the number of documents it is worth, by the method of moments: p(1 - p) within against
+    the variance between sites, held between 5 and 1000.
     """
-    kinds = ("good", "toxic")
-    paths = checkpoint(scores.groupBy("_host", "_path").agg(F.count("*").alias("n"), *[F.sum(_p(f"_{k}")).alias(k) for k in kinds]))
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("hn"), *[F.sum(k).alias(f"h_{k}") for k in kinds])
+    paths = checkpoint(scores.groupBy("_host", "_path").agg(F.count("*").alias("n"), *[F.sum(f"count_{k}").alias(k) for k in KINDS]))
+    hosts = checkpoint(paths.groupBy("_host").agg(F.count("*").alias("n_paths"), F.sum("n").alias("hn"), *[F.sum(k).alias(f"h_{k}") for k in KINDS]))
 
-    def prior(sites: DataFrame, n: str, names: list[str]) -> list[tuple[float, float]]:
+    def prior(sites: DataFrame, n: str, prefix: str) -> tuple[dict[str, float], dict[str, float]]:
+        names = [prefix + k for k in KINDS]
         row = sites.agg(F.sum(n).alias("n"), *[F.sum(x).alias(x) for x in names], *[F.sum(F.col(x) * F.col(x) / F.col(n)).alias(f"s_{x}") for x in names], F.count("*").alias("sites")).first()
-        out = []
-        for x in names:
-            if not row["n"]:
-                out.append((0.5, 5.0))
-                continue
-            mean = min(max(row[x] / row["n"], 1e-4), 1 - 1e-4)
-            between = max(row[f"s_{x}"] / row["n"] - mean * mean - row["sites"] * mean * (1 - mean) / row["n"], 1e-9)
-            out.append((mean, min(max(mean * (1 - mean) / between - 1, 5.0), 1000.0)))
-        return out
+        share, worth = dict.fromkeys(KINDS, 0.5), dict.fromkeys(KINDS, 5.0)
+        for k, x in zip(KINDS, names, strict=True):
+            if row["n"]:
+                share[k] = min(max(row[x] / row["n"], 1e-4), 1 - 1e-4)
+                within = share[k] * (1 - share[k])
+                between = max(row[f"s_{x}"] / row["n"] - share[k] ** 2 - row["sites"] * within / row["n"], 1e-9)
+                worth[k] = min(max(within / between - 1, 5.0), 1000.0)
+        return share, worth
+
+    share, at_host = prior(hosts, "hn", "h_")
+    return checkpoint(join_counted(paths, hosts, ["_host"], "n_paths").drop("n_paths")), Prior(share, at_host, prior(paths, "n", "")[1])
+
 
-    at_host, at_path = prior(hosts, "hn", [f"h_{k}" for k in kinds]), prior(paths, "n", list(kinds))
-    joined = paths.join(hosts, "_host")
-    shifts = []
-    for k, (mean, m0), (_, m1) in zip(kinds, at_host, at_path, strict=True):
-        host = (m0 * mean + F.col(f"h_{k}")) / (m0 + F.col("hn"))
-        path = F.least(F.greatest((m1 * host + F.col(k)) / (m1 + F.col("n")), F.lit(1e-4)), F.lit(1 - 1e-4))
-        shifts.append((F.log(path / (1 - path)) - float(np.log(mean / (1 - mean)))).alias(f"shift_{k}"))
-    return checkpoint(joined.select("_host", "_path", *shifts))
+def _posterior(kind: str, prior: Prior) -> Column:
+    """Probability from the document's log odds and how far its site's posterior log odds lie from the global share's.
+
+    The document itself is left out of the site's counts, so its text counts once.  A host's share is shrunk toward the
+    global share, a path's toward its host's posterior; sites with few other documents keep near their parents.
+    """
+    own, share = F.col(f"count_{kind}"), prior.share[kind]
+    host = (prior.at_host[kind] * share + F.col(f"h_{kind}") - own) / (prior.at_host[kind] + F.col("hn") - 1)
+    path = (prior.at_path[kind] * host + F.col(kind) - own) / (prior.at_path[kind] + F.col("n") - 1)
+    path = F.least(F.greatest(path, F.lit(1e-4)), F.lit(1 - 1e-4))
+    return 1 / (1 + F.exp(-F.col(f"_{kind}") - F.log(path / (1 - path)) + float(np.log(share / (1 - share)))))
 
 
-def judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
-    """_row, _host, _path, p_quality, p_toxic of every row of docs: text evidence times the site's prior odds.
+def judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, kept: list[str] | None = None) -> DataFrame:
+    """_row (the kept columns, all by default), _host, _path, p_quality, p_toxic of every row of docs: the classifier's
+    evidence from the text combined with the odds of its site.
 
-    Null texts count as empty, null hosts and paths as a site of their own.  Rows that tie are judged alike.
+    Null texts count as empty, null hosts and paths as a site of their own, texts of any length whole.  Rows that tie or
+    repeat are judged alike and all stay.  Without labels, or without labels of one kind, nothing is rejected for it; an
+    empty table gives no rows; columns of docs may have any names.  Sites with over a thousandth of all documents (fewer
+    than a thousand) are broadcast, the others joined by shuffle.
     """
-    model = fit(docs, labels)
-    narrow = docs.select("text", host.alias("_h"), path.alias("_p"))
-    sites = site_posteriors(scored(narrow, model, F.col("_h"), F.col("_p")).select("_host", "_path", "_good", "_toxic"))
-    if sites.count() <= BROADCAST_SITES:
-        sites = F.broadcast(sites)
-    both = scored(docs, model, host, path).join(sites, ["_host", "_path"])
-    return both.select("_row", "_host", "_path", (1 / (1 + F.exp(-F.col("_good") - F.col("shift_good")))).alias("p_quality"), (1 / (1 + F.exp(-F.col("_toxic") - F.col("shift_toxic")))).alias("p_toxic"))
+    few = checkpoint(sampled_labels(labels))
+    model = fit(docs, few)
+    scores = scratch(with_counts(scored(docs, model, host, path, kept), few))
+    sites, prior = site_counts(scores)
+    both = join_counted(scores, sites, ["_host", "_path"], "n")
+    return both.select("_row", "_host", "_path", _posterior("good", prior).alias("p_quality"), _posterior("toxic", prior).alias("p_toxic"))
 
 
 KEPT = "p_quality >= 0.5 AND p_toxic < 0.5"
@@ -260,6 +287,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column) ->
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judged of documents with the labels of labels, the source as host, source and language as path."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    out = judged(docs, read(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
+    out = judged(docs, read(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"), ["doc_id"])
     return out.select(F.col("_row.doc_id").alias("doc_id"), F.col("_host").alias("host"), F.col("_path").alias("path"), F.round("p_quality", 6).alias("p_quality"), F.round("p_toxic", 6).alias("p_toxic"), F.expr(KEPT).alias("keep"))

@@ -15,7 +15,8 @@ def contiguous_shards(rows: DataFrame, size: str, order: list[str], n_shards: in
     range gives the bytes before a row, and the row goes to the shard that holds its middle byte when the whole is cut
     at equal targets.  So a shard's bytes miss the target by at most one row's size.
 
-    rows should carry keys rather than texts: they are shuffled twice.  Rows that tie in `order` are spread over
+    rows should carry keys rather than texts: they are checkpointed, so that drawing the ranges' bounds reads no text, and
+    shuffled twice.  Rows that tie in `order` are spread over
     ranges at random and are interchangeable.  Sizes must be positive; null counts as 0 and stays in place.  Empty
     input gives no rows.  Existing columns named shard or slot are replaced.
 
@@ -24,7 +25,7 @@ def contiguous_shards(rows: DataFrame, size: str, order: list[str], n_shards: in
     out = [c for c in rows.columns if c not in ("shard", "slot")]
     keys: list[Column] = [F.col(f"_row.`{c}`") for c in order]
     wide = rows.select(F.struct(*[F.col(f"`{c}`") for c in out]).alias("_row"), F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)).alias("_size"), F.rand(42).alias("_tie"))
-    ranged = checkpoint(wide.repartitionByRange(*keys, "_tie").withColumn("_range", F.spark_partition_id()))
+    ranged = checkpoint(checkpoint(wide).repartitionByRange(*keys, "_tie").withColumn("_range", F.spark_partition_id()))
 
     by_range = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
@@ -46,6 +47,7 @@ def contiguous_shards(rows: DataFrame, size: str, order: list[str], n_shards: in
 
 
 def op3_byte_shards(spark: SparkSession, sf_dir: str, n_shards: int = 24) -> DataFrame:
+    """documents in shards by the law `bytes`, in the order of doc_id; a null text has no bytes and counts 8."""
     text = F.encode(F.col("text"), "UTF-8")
     rows = read(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -1,4 +1,16 @@
-"""SimHash near-duplicates: pivot distance tables over fingerprints that share bit blocks."""
+"""SimHash near-duplicates by pivot distance tables.
+
+The table holds, for each fingerprint, its Hamming distance to every reference fingerprint (pivot), block of bits by
+block: the distance to a pivot is the sum over the blocks.  For fingerprints a, b at most m bits apart the triangle
+inequality holds in every block, so
+
+* in the blocks where they don't differ (of m + 3 blocks at least three) all their coordinates are equal, and
+* to any pivot, their distances differ by at most m.
+
+The first makes candidates by equi-joins on the coordinates of three blocks.  Coordinates over all bits can't do that:
+distances of unrelated fingerprints to a pivot lie around 32 with deviation 4, so cells that hold a difference of 4 hold
+most of the table.  Pivots drawn from each bucket of candidates, and the second property, discard the others.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsward.llm.common import checkpoint, map_batches, portions, read, utf8
+from obsward.llm.common import checkpoint, join_counted, map_batches, portions, read, scratch, utf8
 from obsward.llm.components import components
 from obsward.llm.hashing import simhash_many
 from obsward.llm.similar import keep_one  # noqa: F401
@@ -18,7 +30,10 @@ from obsward.llm.similar import keep_one  # noqa: F401
 #: Reference fingerprints of the distance table (drawn at random; any set gives the same links).
 _DRAWN = Random(16)
 PIVOTS = tuple(_DRAWN.getrandbits(64) for _ in range(16))
-BLOCKS, SHARED = 7, 3
+#: Blocks of bits whose coordinates a candidate pair shares.
+SHARED = 3
+#: Rounds in which a bucket's fingerprints are compared with one pivot drawn from it, before those that are still apart are paired.
+STARS = 2
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -36,43 +51,72 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _distances(fp: Column) -> list[Column]:
-    """Hamming distances to the pivots, eight to a long."""
-    packed = []
-    for a in range(0, len(PIVOTS), 8):
-        total = F.lit(0).cast("long")
-        for j, p in enumerate(PIVOTS[a : a + 8]):
-            total = total.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)))).cast("long"), 8 * j))
-        packed.append(total.alias(f"d{a // 8}"))
-    return packed
+def _masks(blocks: int) -> list[int]:
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    return [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(blocks)]
+
 
+def distance_table(fps: DataFrame, blocks: int) -> DataFrame:
+    """fp and a column for each block: the distances to the pivots in its bits, 4 bits each (blocks of at most 15 bits)."""
+    columns = []
+    for k, mask in enumerate(_masks(blocks)):
+        packed = F.lit(0).cast("long")
+        for j, p in enumerate(PIVOTS):
+            packed = packed.bitwiseOR(F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p))).bitwiseAND(F.lit(_signed(mask)))).cast("long"), 4 * j))
+        columns.append(packed.alias(f"c{k}"))
+    return fps.select("fp", *columns)
 
-def _coordinates_near(a: str, b: str, most: int) -> str:
-    return " AND ".join(f"ABS(((a.{d} >> {s}) & 127) - ((b.{d} >> {s}) & 127)) <= {most}" for d in (f"d{k}" for k in range(len(PIVOTS) // 8)) for s in range(0, 64, 8))
 
+def candidate_buckets(fps: DataFrame, most: int) -> DataFrame:
+    """key, fp: fingerprints (distinct) that share their coordinates in three blocks, once for each such three."""
+    blocks = most + SHARED
+    names = combinations([f"c{k}" for k in range(blocks)], SHARED)
+    keys = F.array(*[F.xxhash64(F.lit(i), *some) for i, some in enumerate(names)])
+    keyed = distance_table(fps, blocks).select(F.explode(keys).alias("key"), "fp")
+    shared = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    return scratch(join_counted(keyed, shared, ["key"], "n").select("key", "fp"))
 
-def links(fps: DataFrame, most: int = 4, blocks: int = BLOCKS, shared: int = SHARED) -> DataFrame:
-    """a, b: every pair of different fingerprints (column fp, distinct) at most `most` bits apart, a < b.
 
-    The table holds each fingerprint's distances to PIVOTS.  By the triangle inequality the distances of two near
-    fingerprints to any pivot differ by at most `most`, so a pair with a larger coordinate difference is discarded;
-    survivors are verified by their own distance.  To have the table run over few pairs instead of all, pairs come
-    from equi-joins: of `blocks` blocks of bits, at most `most` can differ, so some `shared` = blocks - most agree.
-    The pair is taken up under the first blocks in which it agrees, hence once.
+def _apart(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def linked(fps: DataFrame, most: int = 4) -> DataFrame:
+    """node, root of the fingerprints (column fp, distinct) that others reach by links of at most `most` bits.
+
+    In the first rounds every fingerprint of a bucket is compared with one pivot drawn from those outside the bucket's
+    largest component, so a group of g near copies is joined by g comparisons.  Then fingerprints of a bucket that are
+    still in different components are paired, those outside its largest component with all others, if their distances
+    to the bucket's last pivot differ by at most `most` (cells of that width and their neighbours), and verified.  So no
+    link between different components is missed, and links within one are not needed.
     """
-    if blocks - most < shared:
-        raise ValueError("so many differing bits can leave fewer blocks unchanged")
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    masks = [((1 << edges[k + 1]) - (1 << edges[k])) for k in range(blocks)]
-    bands = list(combinations(range(blocks), shared))
-    rows = F.array(*[F.struct(F.lit(i).cast("int").alias("band"), F.col("fp").bitwiseAND(F.lit(_signed(sum(masks[k] for k in band)))).alias("part")) for i, band in enumerate(bands)])
-    table = fps.select("fp", *_distances(F.col("fp")))
-    keyed = table.withColumn("key", F.explode(rows)).select("key.band", "key.part", *table.columns)
-    skipped = [[masks[k] for k in range(band[-1]) if k not in band] for band in bands]
-    width = max(map(len, skipped))
-    first = " AND ".join("((a.fp ^ b.fp) & ELEMENT_AT(ARRAY({}), a.band + 1)) <> 0".format(", ".join(f"{_signed(s[k]) if k < len(s) else -1}L" for s in skipped)) for k in range(width))
-    near = F.expr(f"a.band = b.band AND a.part = b.part AND a.fp < b.fp AND {_coordinates_near('a', 'b', most)} AND BIT_COUNT(a.fp ^ b.fp) <= {most} AND {first}")
-    return keyed.alias("a").join(keyed.alias("b"), near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    buckets = candidate_buckets(fps, most)
+    found = buckets.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
+    roots = found.select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    for turn in range(STARS + 1):
+        rooted = scratch(buckets.join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))) if turn else buckets.withColumn("root", F.col("fp"))
+        sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64(F.lit(turn), "key", "fp")).alias("pivot"))
+        largest = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("several"), F.max_by("root", F.struct("n", "root")).alias("main"), F.min_by("pivot", F.struct("n", "root")).alias("pivot"))
+        open_ = checkpoint(largest.where("several > 1").drop("several"))
+        if open_.isEmpty():
+            break
+        live = join_counted(rooted, open_, ["key"], "n")
+        if turn < STARS:
+            new = live.where(_apart("fp", "pivot") <= most).where("fp <> pivot").select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b"))
+        else:
+            new = _pairs(scratch(live.select("key", "fp", "root", "main", _apart("fp", "pivot").alias("d"))), most)
+        found = scratch(components(found.unionByName(new))).select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = found.select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    return found.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _pairs(live: DataFrame, most: int) -> DataFrame:
+    """a, b: links between different components of a bucket.  live: key, fp, root, main (the largest root), d (to a pivot)."""
+    cell = F.floor(F.col("d") / (most + 1))
+    minor = live.where("root <> main").withColumn("cell", cell)
+    around = live.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    near = F.expr(f"q.key = p.key AND q.cell = p.cell AND q.root <> p.root AND ABS(q.d - p.d) <= {most} AND BIT_COUNT(q.fp ^ p.fp) <= {most} AND (p.root = p.main OR q.fp < p.fp)")
+    return minor.alias("q").join(around.alias("p"), near).select(F.least("q.fp", "p.fp").alias("a"), F.greatest("q.fp", "p.fp").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
@@ -80,16 +124,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
 
     Documents link where their fingerprints differ in at most `most` bits; texts without words (null, empty) have
     fingerprint 0 and link like any other.  component_id is the smallest doc_id reachable; null only where all of a
-    component's ids are null.  Documents with one fingerprint are one node, so copies are never paired.
+    component's ids are null.  Documents with one fingerprint are one node, so copies are never paired.  Whole texts of
+    any length count; rows that repeat stay; an empty table gives no rows; other columns are not looked at.
     """
     own = checkpoint(fingerprints(docs, shingle))
-    by_fp = checkpoint(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = checkpoint(links(by_fp.select("fp"), most))
-    roots = components(found).withColumnRenamed("node", "fp")
-    rooted = by_fp.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    by_fp = checkpoint(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    roots = linked(by_fp.select("fp"), most).withColumnRenamed("node", "fp")
+    rooted = checkpoint(by_fp.join(roots, "fp", "left").select("fp", "copies", "least", F.coalesce("root", "fp").alias("root")))
+    least = checkpoint(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
+    named = checkpoint(join_counted(rooted, least, ["root"], "members").select("fp", "copies", "component_id"))
+    return join_counted(own, named, ["fp"], "copies").select("doc_id", "fp", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates of documents by words in fours and four bits, the fingerprint in hex."""
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -90,7 +90,7 @@ def test_judges():
 
 def test_bpe_as_the_library():
     own = bpe.codec(bpe.vocabulary())
-    library = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    library = tiktoken.Encoding("own", pat_str=bpe.split_pattern(), mergeable_ranks=own.ranks, special_tokens={})
     alphabet = ["a", "b", " ", "\n", "\t", "\x1c", "\x1f", "\x85", "\xa0", "　", "1", "²", "é", "é", "漢", "🙂", "'s", "'LL", "'ll", "_", "​", "\x00", "٣", "ǅ"]
     texts = ["".join(R.choice(alphabet) for _ in range(R.randrange(30))) for _ in range(3000)]
     texts += ["a" * 4000, "ab" * 2500, "".join(R.choice("abcdeinrst") for _ in range(15000)), " " * 2000 + "x", "<|endoftext|>", ""]
@@ -112,13 +112,31 @@ def test_chunks_are_content_defined():
     assert [len(media.padded(b"x" * n)) for n in (0, 1, 64, 65)] == [64, 64, 64, 128]
 
 
-def test_graph_recall():
-    r = np.random.default_rng(2)
-    points = ann._unit(r.normal(size=(900, 24)))
+def test_pruning_keeps_diverse_edges():
+    r = np.random.default_rng(4)
+    points = ann._unit(r.normal(size=(60, 6)))
+    candidates = np.concatenate([r.integers(-1, 60, size=(20, 25)), np.full((20, 3), -1)], axis=1)
+    nodes = r.permutation(60)[:20]
+    got = ann._prune(points, nodes, candidates, 7, 1.2)
+    apart = lambda i, j: float(np.sqrt(max(2 - 2 * points[i] @ points[j], 0)))
+    for node, some, mine in zip(nodes.tolist(), candidates.tolist(), got.tolist(), strict=True):
+        left = sorted({c for c in some if c >= 0 and c != node}, key=lambda c: apart(node, c))
+        kept = []
+        while left and len(kept) < 7:
+            kept.append(left.pop(0))
+            left = [c for c in left if 1.2 * apart(kept[-1], c) > apart(node, c)]
+        assert [x for x in mine if x >= 0] == kept
+
+
+def recall(points, queries, beam=None):
     edges, entry = ann.build_graph(points)
-    assert edges.shape == (900, ann.DEGREE) and (edges < 900).all()
-    queries = ann._unit(r.normal(size=(100, 24)))
-    nodes, near, _ = ann.beam_search(points, edges, entry, queries, ann.BEAM)
+    assert edges.shape == (len(points), ann.DEGREE) and (edges < len(points)).all()
+    nodes, near, _, met = ann.beam_search(points, edges, entry, queries, beam or ann.BEAM)
     exact = np.argsort(-(queries @ points.T), axis=1)[:, :5]
-    assert np.mean([len(set(a[:5].tolist()) & set(b.tolist())) / 5 for a, b in zip(nodes, exact, strict=True)]) > 0.95
     assert (np.diff(near, axis=1) <= 0).all()
+    return np.mean([len(set(a[:5].tolist()) & set(b.tolist())) / 5 for a, b in zip(nodes, exact, strict=True)]), met / len(queries)
+
+
+def test_graph_recall():
+    r = np.random.default_rng(2)
+    assert recall(ann._unit(r.normal(size=(900, 24))), ann._unit(r.normal(size=(100, 24))))[0] > 0.95

@@ -106,14 +106,33 @@ def test_simhash(docs):
     assert kept.count() == len(set(grouped([r.fp & (1 << 64) - 1 for r in found], 4)))
 
 
-def test_links_between_many_fingerprints(spark):
-    centre = [R.getrandbits(64) for _ in range(40)]
-    fps = sorted({c ^ sum(1 << R.randrange(64) for _ in range(R.randrange(7))) for c in centre for _ in range(15)})
-    fps = [f % (1 << 64) for f in fps]
-    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in set(fps)], "fp long")
-    got = sorted((r.a, r.b) for r in simhash.links(df).collect())
-    signed = sorted({f - (1 << 64) if f >> 63 else f for f in fps})
-    assert got == sorted((a, b) for k, a in enumerate(signed) for b in signed[k + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4)
+def signed(f):
+    return f - (1 << 64) if f >> 63 else f
+
+
+@pytest.mark.parametrize("stars", [0, 2])
+def test_links_between_many_fingerprints(spark, monkeypatch, stars):
+    """Groups around centres, chains, and centres that share blocks but lie apart."""
+    monkeypatch.setattr(simhash, "STARS", stars)
+    centre = [R.getrandbits(64) for _ in range(30)]
+    centre += [c ^ sum(1 << R.randrange(64) for _ in range(9)) for c in centre[:10]]
+    fps = [c ^ sum(1 << R.randrange(64) for _ in range(R.randrange(7))) for c in centre for _ in range(12)]
+    chain = [R.getrandbits(64)]
+    for _ in range(40):
+        chain.append(chain[-1] ^ sum({1 << R.randrange(64) for _ in range(4)}))
+    fps = sorted({f % (1 << 64) for f in fps + chain + [0, 1, (1 << 64) - 1]})
+    got = {r.node: r.root for r in simhash.linked(spark.createDataFrame([(signed(f),) for f in fps], "fp long")).collect()}
+    root = grouped(fps, 4)
+    least = {k: min(signed(f) for f, x in zip(fps, root, strict=True) if x == k) for k in set(root)}
+    assert len(set(root)) < len(fps)
+    assert {signed(f): got.get(signed(f), signed(f)) for f in fps} == {signed(f): least[k] for f, k in zip(fps, root, strict=True)}
+
+
+def test_distance_table(spark):
+    fps = [R.getrandbits(64) for _ in range(50)]
+    for row in simhash.distance_table(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), 7).collect():
+        for j, p in enumerate(simhash.PIVOTS):
+            assert sum(row[f"c{k}"] >> 4 * j & 15 for k in range(7)) == ((row.fp ^ p) & (1 << 64) - 1).bit_count()
 
 
 def test_components(spark):
@@ -213,11 +232,26 @@ def test_mixing_meets_the_marginals(spark):
     assert share(lambda x: x.source not in ("a", "b")) == pytest.approx(rest, abs=1e-4)
     assert share(lambda x: x.source == "a") == pytest.approx((1 - rest) * 5 / 7, abs=1e-4)
     assert share(lambda x: x.lang == "en") == pytest.approx(0.5, abs=1e-4) and share(lambda x: x.topic == "t1") == pytest.approx(0.3, abs=1e-4)
+    report = {(x.dimension, x.value): x for x in mixing.reached(mixing.mixed(df, targets, budget=0.2), targets).collect()}
+    assert report["source", "*"].wanted is None and report["source", "a"].wanted == pytest.approx((1 - rest) * 5 / 7)
+    assert all(x.expected == pytest.approx(x.wanted, abs=1e-4) for x in report.values() if x.wanted is not None) and ("source", "zz") not in report
     drawn = mixing.sample(df, targets, budget=0.2)
     assert drawn.columns == df.columns and {x.doc_id for x in drawn.collect()} == {x.doc_id for x in got if x._drawn < x._probability}
     assert sum(x._tokens for x in got if x._drawn < x._probability) == pytest.approx(expected, rel=0.15)
 
 
+def test_the_budget_gives_way_to_the_targets(spark):
+    r = random.Random(7)
+    rows = [(i, words(20, r), "rare" if i % 50 == 0 else "common", "en") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = mixing.Targets({"rare": 0.4, "common": 0.6}, {"en": 1.0}, {"short": 1.0})
+    mixture = mixing.mixed(df, targets, budget=0.7)
+    shares = {x.value: x.expected for x in mixing.reached(mixture, targets).collect()}
+    assert shares["rare"] == pytest.approx(0.4, abs=mixing.MISSING + 1e-9) and shares["rare"] < 0.4
+    total, kept = mixture.selectExpr("SUM(_tokens)", "SUM(_tokens * _probability)").first()
+    assert 0.04 < kept / total < 0.06
+
+
 def test_mixing_on_awkward_rows(docs):
     got = mixing.mixed(docs).collect()
     assert len(got) == docs.count() and all(0 < r._probability <= 1 and 0 <= r._drawn < 1 for r in got)
@@ -225,6 +259,11 @@ def test_mixing_on_awkward_rows(docs):
     assert mixing.sample(docs.where("false")).count() == 0
 
 
+def plain_feature(payload):
+    crossings = sum((a < 128) != (b < 128) for a, b in zip(payload, payload[1:]))  # noqa: B905
+    return f"{sum(payload)}:{sum(x * x for x in payload)}:{crossings}:{min(payload)}:{max(payload)}"
+
+
 def test_media(spark, docs):
     kept = media.store(docs)
     got = media.load(kept, with_payload=True).collect()
@@ -234,8 +273,16 @@ def test_media(spark, docs):
         expected.append((i, len(raw(t)), len(p), digest(p), zlib.crc32(p[-64:]), p))
     same([(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, bytes(r.payload)) for r in got], expected)
     assert len({(r.payload_sha256, r.n_bytes, r.media_sha256, r.media_bytes, r.feature) for r in got}) == len({raw(t) for _, t in rows_of(docs)})
-    assert all(r.media_bytes > r.payload_bytes for r in got)
-    broken = media.MediaStore(kept.packs.withColumn("own", F.when(F.length("own") > 0, F.encode(F.repeat(F.lit("?"), F.length("own")), "UTF-8")).otherwise(F.col("own"))), kept.chunks)
+    written = [(r.doc_id, len(r.media), digest(bytes(r.media))) for r in kept.packs.collect()]
+    same([(r.doc_id, r.media_bytes, r.media_sha256) for r in got], written)
+    plain = [(i, plain_feature(p)) for i, *_, p in expected]
+    same([(r.doc_id, r.feature.split(":", 1)[1]) for r in got], plain)
+    same([tuple(r) for r in media.load(kept).collect()], [tuple(r)[:-1] for r in got])
+    chunks = {bytes(r.digest): bytes(r.bytes) for r in kept.chunks.collect()}
+    assert chunks and all(hashlib.sha256(b).digest() == d for d, b in chunks.items())
+    assert {True, False} <= {r.shared for r in kept.packs.collect()}
+    turned = F.expr("CASE WHEN shared THEN media ELSE CAST(OVERLAY(media PLACING CAST('?' AS BINARY) FROM LENGTH(media)) AS BINARY) END")
+    broken = media.MediaStore(kept.packs.withColumn("media", turned), kept.chunks)
     with pytest.raises(Exception, match="digest"):
         media.load(broken).collect()
     assert media.load(media.store(docs.where("false"))).count() == 0
@@ -302,11 +349,54 @@ def test_quality(spark, docs):
     assert quality.keep_good(df.where("false"), marks, host, path).count() == 0
 
 
-def test_sparse_sites_shrink_to_their_parents(spark):
-    scores = [("big", f"big/{i % 2}", -3.0 if i % 4 else 3.0, -5.0) for i in range(400)] + [("good", "good/0", 4.0, -5.0)] * 400 + [("tiny", "tiny/0", -3.0, -5.0)]
-    df = spark.createDataFrame(scores, "_host string, _path string, _good double, _toxic double")
-    shift = {r._path: r.shift_good for r in quality.site_posteriors(df).collect()}
-    assert shift["good/0"] > 0 > shift["tiny/0"] > shift["big/1"]
+def plain_posteriors(rows):
+    """rows: host, path, log odds and count (label or probability) of good, the same of toxic.  Returns both probabilities."""
+    def prior(sites):
+        n = sum(len(x) for x in sites)
+        share = min(max(sum(map(sum, sites)) / n, 1e-4), 1 - 1e-4)
+        between = max(sum(sum(x) ** 2 / len(x) for x in sites) / n - share**2 - len(sites) * share * (1 - share) / n, 1e-9)
+        return share, min(max(share * (1 - share) / between - 1, 5.0), 1000.0)
+
+    out = []
+    for z in (2, 4):
+        hosts, paths = {}, {}
+        for k, r in enumerate(rows):
+            hosts.setdefault(r[0], {})[k] = r[z + 1]
+            paths.setdefault(r[:2], {})[k] = r[z + 1]
+        (share, m0), (_, m1) = (prior([list(x.values()) for x in sites.values()]) for sites in (hosts, paths))
+        own = []
+        for k, r in enumerate(rows):
+            others = [c for j, c in hosts[r[0]].items() if j != k]
+            host = (m0 * share + sum(others)) / (m0 + len(others))
+            others = [c for j, c in paths[r[:2]].items() if j != k]
+            path = min(max((m1 * host + sum(others)) / (m1 + len(others)), 1e-4), 1 - 1e-4)
+            own.append(1 / (1 + np.exp(-r[z] - np.log(path / (1 - path)) + np.log(share / (1 - share)))))
+        out.append(own)
+    return list(zip(*out, strict=True))
+
+
+def test_judgement_equals_a_plain_version(docs, spark):
+    ids = [0, 4, 5, 7, 8, 11, 12, 14, 20, 25]
+    marks = spark.createDataFrame([(i, int(k % 3 > 0), int(k % 4 == 0)) for k, i in enumerate(ids)] + [(5, 1, 1), (None, 0, 1), (7, None, 0), (999, 0, 0)], "doc_id long, quality int, toxic int")
+    labels = {r.doc_id: r for r in quality.sampled_labels(marks).collect()}
+    assert labels[5].toxic == 1 and set(labels) == {*ids, 999}
+    host, path = F.col("source"), F.concat_ws("/", "source", "lang")
+    model = quality.fit(docs, quality.sampled_labels(marks))
+    rows = []
+    for r in docs.select("doc_id", "text", F.coalesce(host, F.lit("")).alias("a"), path.alias("b")).collect():
+        good, toxic = (float(x[0]) for x in model.score([raw(r.text)]))
+        known = labels.get(r.doc_id)
+        counts = (float(known.quality), float(known.toxic)) if known else tuple(1 / (1 + np.exp(-x)) for x in (good, toxic))
+        rows.append((r.a, r.b, good, counts[0], toxic, counts[1]))
+    got = sorted((r._host, r._path, r.p_quality, r.p_toxic) for r in quality.judged(docs, marks, host, path).collect())
+    for mine, (r, p) in zip(got, sorted(((r[0], r[1], *p), p) for r, p in zip(rows, plain_posteriors(rows), strict=True)), strict=True):
+        assert mine[:2] == r[:2] and mine[2:] == pytest.approx(p, rel=1e-6)
+
+
+def test_sparse_sites_shrink_to_their_parents():
+    rows = [("big", f"big/{i % 2}", 0.0, float(i % 4 == 0), 0.0, 0.0) for i in range(400)] + [("good", "good/0", 0.0, 1.0, 0.0, 0.0)] * 400 + [("tiny", "tiny/0", 0.0, 0.0, 0.0, 0.0)]
+    p = {r[1]: x[0] for r, x in zip(rows, plain_posteriors(rows), strict=True)}
+    assert p["good/0"] > 0.5 and p["tiny/0"] == pytest.approx(0.5) and p["big/1"] < 0.1
 
 
 def test_empty_tables(docs):
