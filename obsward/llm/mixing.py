@@ -177,7 +177,7 @@ x AS (SELECT c0, c1, c2, w, x FROM f WHERE k = 75),
 a AS (SELECT list({'w': w, 'x': x}) AS cells, max(w / (total * x)) AS top, any_value(total) AS total FROM x, t),
 r AS (SELECT 0 AS k, CAST(0 AS DOUBLE) AS lo, top AS hi FROM a
   UNION ALL SELECT k + 1, CASE WHEN low THEN (lo + hi) / 2 ELSE lo END, CASE WHEN low THEN hi ELSE (lo + hi) / 2 END
-  FROM (SELECT r.*, have < 0.7e0 * total AND have >= (1 - 0.01e0) * (lo + hi) / 2 * total AS low
+  FROM (SELECT *, have < 0.7e0 * total AND have >= (1 - 0.01e0) * (lo + hi) / 2 * total AS low
     FROM (SELECT r.*, total, list_sum(list_transform(cells, lambda c: least(c.w, (lo + hi) / 2 * total * c.x))) AS have FROM r, a WHERE k < 60))),
 p AS (SELECT c0, c1, c2, least(1, hi * total * x / w) AS probability FROM x, t, (SELECT hi FROM r WHERE k = 60))
 SELECT doc_id, source, lang, topic, n_tokens, round(CASE WHEN n_tokens = 0 THEN 1 ELSE probability END, 6) AS probability
