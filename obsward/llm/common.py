@@ -75,10 +75,27 @@ def scratch(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     checkpoint_dir(df.sparkSession)
     path = f"{context.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Scratch tables that this driver has written and not yet removed.
+_SCRATCH: list[str] = []
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables written so far, once the results that read them are written; how many there were.
+
+    Checkpoints are Spark's own: it deletes them with spark.cleaner.referenceTracking.cleanCheckpoints.
+    """
+    hadoop, n = spark.sparkContext._jsc.hadoopConfiguration(), len(_SCRATCH)
+    while _SCRATCH:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+    return n
+
+
 def portions(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about so many bytes."""
     begin = total = 0

@@ -69,7 +69,7 @@ def cell_probabilities(cells: DataFrame, targets: Targets, budget: float) -> Dat
     for d, wanted in enumerate(dims):
         names = _names(wanted)
         listed = _array([f"{float(wanted[n])}D" if n in wanted else "NULL" for n in names])
-        one = one.withColumn(f"have{d}", F.expr(f"TRANSFORM(SEQUENCE(0, {len(names) - 1}), i -> AGGREGATE(FILTER(cells, c -> c.c{d} = i), 0D, (s, c) -> s + c.w) / total)"))
+        one = one.withColumn(f"have{d}", F.expr(f"TRANSFORM(SEQUENCE(0, {len(names) - 1}), i -> IF(total > 0, AGGREGATE(FILTER(cells, c -> c.c{d} = i), 0D, (s, c) -> s + c.w) / total, 0D))"))
         rest = f"have{d}[{len(names) - 1}]"
         one = one.withColumn(f"sum{d}", F.expr(f"AGGREGATE(ZIP_WITH({listed}, have{d}, (t, h) -> IF(h > 0, t, 0D)), 0D, (s, t) -> s + COALESCE(t, 0D))"))
         scale = "1D" if REST in wanted else f"(1D - {rest})"
