@@ -32,8 +32,6 @@ _DRAWN = Random(16)
 PIVOTS = tuple(_DRAWN.getrandbits(64) for _ in range(16))
 #: Blocks of bits whose coordinates a candidate pair shares.
 SHARED = 3
-#: Rounds in which a bucket's fingerprints are compared with one pivot drawn from it, before those that are still apart are paired.
-STARS = 2
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -81,42 +79,46 @@ def _apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def _linked_to(pivot: str, rows: DataFrame, most: int) -> DataFrame:
+    near = rows.where((_apart("fp", pivot) <= most) & (F.col("fp") != F.col(pivot)))
+    return near.select(F.least("fp", pivot).alias("a"), F.greatest("fp", pivot).alias("b"))
+
+
 def linked(fps: DataFrame, most: int = 4) -> DataFrame:
     """node, root of the fingerprints (column fp, distinct) that others reach by links of at most `most` bits.
 
-    In the first rounds every fingerprint of a bucket is compared with one pivot drawn from those outside the bucket's
-    largest component, so a group of g near copies is joined by g comparisons.  Then fingerprints of a bucket that are
-    still in different components are paired, those outside its largest component with all others, if their distances
-    to the bucket's last pivot differ by at most `most` (cells of that width and their neighbours), and verified.  So no
-    link between different components is missed, and links within one are not needed.
+    Every fingerprint of a bucket is first compared with two pivots drawn from it, one by hash and the one farthest from
+    that, so a group of g near copies is joined by about 2g comparisons.  Then fingerprints of a bucket that are still in
+    different components are paired, those outside its largest component with all others, if their distances to the
+    bucket's first pivot differ by at most `most` (cells of that width and their neighbours), and verified.  So no link
+    between different components is missed, and links within one are not needed.
     """
     buckets = candidate_buckets(fps, most)
-    found = buckets.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
-    roots = found.select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    for turn in range(STARS + 1):
-        rooted = scratch(buckets.join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))) if turn else buckets.withColumn("root", F.col("fp"))
-        sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64(F.lit(turn), "key", "fp")).alias("pivot"))
-        largest = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("several"), F.max_by("root", F.struct("n", "root")).alias("main"), F.min_by("pivot", F.struct("n", "root")).alias("pivot"))
-        open_ = checkpoint(largest.where("several > 1").drop("several"))
-        if open_.isEmpty():
-            break
-        live = join_counted(rooted, open_, ["key"], "n")
-        if turn < STARS:
-            new = live.where(_apart("fp", "pivot") <= most).where("fp <> pivot").select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b"))
-        else:
-            new = _pairs(scratch(live.select("key", "fp", "root", "main", _apart("fp", "pivot").alias("d"))), most)
-        found = scratch(components(found.unionByName(new))).select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = found.select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    return found.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    first = checkpoint(buckets.groupBy("key").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("key", "fp")).alias("one")))
+    near = scratch(join_counted(buckets, first, ["key"], "n").select("key", "fp", "one", _apart("fp", "one").alias("d")))
+    # buckets that lie within reach of their first pivot are one component
+    second = near.groupBy("key").agg(F.count("*").alias("n"), F.max("d").alias("far"), F.max_by("fp", F.struct("d", "fp")).alias("two"))
+    wide = scratch(join_counted(near, checkpoint(second.where(F.col("far") > most)), ["key"], "n").select("key", "fp", "d", "two"))
+    found = scratch(components(_linked_to("one", near, most).unionByName(_linked_to("two", wide, most))))
+    rooted = scratch(wide.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "d", F.coalesce("root", "fp").alias("root")))
+    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key")
+    open_ = checkpoint(sizes.agg(F.sum("size").alias("n"), F.count("*").alias("several"), F.max_by("root", F.struct("size", "root")).alias("main")).where("several > 1"))
+    if open_.isEmpty():
+        return found
+    pairs = scratch(_pairs(scratch(join_counted(rooted, open_, ["key"], "n").select("key", "fp", "root", "main", "d")), most))
+    if pairs.isEmpty():
+        return found
+    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(pairs))
 
 
 def _pairs(live: DataFrame, most: int) -> DataFrame:
-    """a, b: links between different components of a bucket.  live: key, fp, root, main (the largest root), d (to a pivot)."""
+    """a, b: roots of different components that links within a bucket join.  live: key, fp, root, main (the largest root),
+    d (to a pivot)."""
     cell = F.floor(F.col("d") / (most + 1))
     minor = live.where("root <> main").withColumn("cell", cell)
     around = live.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
     near = F.expr(f"q.key = p.key AND q.cell = p.cell AND q.root <> p.root AND ABS(q.d - p.d) <= {most} AND BIT_COUNT(q.fp ^ p.fp) <= {most} AND (p.root = p.main OR q.fp < p.fp)")
-    return minor.alias("q").join(around.alias("p"), near).select(F.least("q.fp", "p.fp").alias("a"), F.greatest("q.fp", "p.fp").alias("b"))
+    return minor.alias("q").join(around.alias("p"), near).select(F.least("q.root", "p.root").alias("a"), F.greatest("q.root", "p.root").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
