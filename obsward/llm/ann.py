@@ -16,8 +16,10 @@ from obsward.llm.common import checkpoint, read, scratch
 
 #: Vectors of a shard, edges of a node, nodes of a query's beam (two thirds of it while building), how much nearer an edge's end must be to make another needless.
 SHARD, DEGREE, BEAM, RELAXED = 32_768, 32, 96, 1.2
-#: Cells that vectors are dealt over by their nearest centre, at most; cells that a query is sent to.
-CELLS, PROBES = 4096, 8
+#: Cells that vectors are dealt over by their nearest centre, at most.
+CELLS = 4096
+#: A query goes to so many cells that those hold this share of the nearest of PROBED vectors drawn from the table, compared with all.
+COVERED, PROBED = 0.98, 256
 #: Vectors that the centres of the cells are fitted on for each cell, and rounds of that fit.
 FITTED_ON, ROUNDS = 16, 6
 #: Queries searched together, nodes inserted together, queries sent to a shard at once.
@@ -165,11 +167,12 @@ def usable(rows: DataFrame) -> DataFrame:
 @dataclass
 class Index:
     """shards: dim, cell, part, node, entry, embedding, members, edges; parts: dim, cell, parts (shards of the cell);
-    centres: unit vectors of the cells of the dimensions that have several."""
+    centres: unit vectors of the cells of the dimensions that have several; probes: to how many of them a query goes."""
 
     shards: DataFrame
     parts: DataFrame
     centres: dict[int, np.ndarray]
+    probes: dict[int, int]
 
 
 def _fit_centres(sample: np.ndarray, cells: int) -> np.ndarray:
@@ -184,8 +187,38 @@ def _fit_centres(sample: np.ndarray, cells: int) -> np.ndarray:
     return centres
 
 
-def _to_cells(rows: DataFrame, centres: Broadcast, most: int) -> DataFrame:
-    """rows (dim, embedding and others) with cells: the `most` cells with the nearest centres, nearest first."""
+def _probes(celled: DataFrame, centres: np.ndarray, k: int) -> int:
+    """Cells that a query must go to.  celled: embedding, cell, e2 of all vectors of the dimension.
+
+    PROBED of them, drawn by hash, are compared with all others in one pass; each task passes on its k nearest of each.
+    """
+    drawn = _unit(_matrix(celled.orderBy("e2").limit(PROBED).select("embedding").toArrow().column("embedding")))
+    asked = celled.sparkSession.sparkContext.broadcast(drawn)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(asked.value), k + 1), -np.inf, dtype=np.float32)
+        cell = np.zeros(best.shape, dtype=np.int32)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                near = asked.value @ _unit(_matrix(pa.chunked_array([part.column("embedding")]))).T
+                both = np.concatenate([best, near], axis=1)
+                cells = np.concatenate([cell, np.broadcast_to(part.column("cell").to_numpy(), near.shape)], axis=1)
+                order = np.argpartition(-both, k, axis=1)[:, : k + 1]
+                best, cell = np.take_along_axis(both, order, axis=1), np.take_along_axis(cells, order, axis=1)
+        of = np.repeat(np.arange(len(best), dtype=np.int32), k + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(best.ravel()), pa.array(cell.ravel())], ["drawn", "near", "cell"])
+
+    first = Window.partitionBy("drawn").orderBy(F.desc("near"))
+    found = celled.select("embedding", "cell").mapInArrow(nearest, "drawn int, near float, cell int").where("near > -2")
+    rows = found.withColumn("n", F.row_number().over(first)).where((F.col("n") > 1) & (F.col("n") <= k + 1)).collect()  # the first is itself
+    place = np.argsort(np.argsort(-(drawn @ centres.T), axis=1, kind="stable"), axis=1)
+    places = np.sort([place[r.drawn, r.cell] for r in rows])
+    return int(places[min(len(places) - 1, int(np.ceil(COVERED * len(places))))]) + 1 if len(places) else 1
+
+
+def _to_cells(rows: DataFrame, centres: Broadcast, most: dict[int, int]) -> DataFrame:
+    """rows (dim, embedding and others) with cells: as many cells with the nearest centres as `most` says for the dimension (one without), nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +229,7 @@ def _to_cells(rows: DataFrame, centres: Broadcast, most: int) -> DataFrame:
                 for k in range(0, len(on), 4096):
                     some = on[k : k + 4096]
                     near = _unit(_matrix(pa.chunked_array([batch.column("embedding").take(pa.array(some))]))) @ centres.value[dim].T
-                    for i, x in zip(some.tolist(), np.argsort(-near, axis=1, kind="stable")[:, :most].tolist(), strict=True):
+                    for i, x in zip(some.tolist(), np.argsort(-near, axis=1, kind="stable")[:, : most.get(dim, 1)].tolist(), strict=True):
                         cells[i] = x
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
 
@@ -209,7 +242,8 @@ def build_index(vectors: DataFrame, members: int, shard: int = SHARD) -> Index:
     Equal vectors are one node; no result of less than `members` rows can need more ids of it, or more rows of an id.
     Where a dimension has more vectors than a shard takes, they are dealt over cells by their nearest centre (at most
     CELLS in all; the centres are fitted on FITTED_ON vectors for each cell, drawn by hash), and a cell that has more than
-    a shard takes is split into parts by hash.  An empty table gives an empty index.
+    a shard takes is split into parts by hash.  How many cells a query must go to is measured.  An empty table gives an empty
+    index.
     """
     again = Window.partitionBy("e1", "e2", "vec_id").orderBy("vec_id")
     same = Window.partitionBy("e1", "e2").orderBy("vec_id")
@@ -223,7 +257,8 @@ def build_index(vectors: DataFrame, members: int, shard: int = SHARD) -> Index:
         sample = nodes.where(F.col("dim") == dim).orderBy("e1", "e2").limit(FITTED_ON * cells).select("embedding").toArrow()
         centres[dim] = _fit_centres(_unit(_matrix(sample.column("embedding"))), cells)
     shared = nodes.sparkSession.sparkContext.broadcast(centres)
-    celled = checkpoint(_to_cells(nodes, shared, 1).withColumn("cell", F.element_at("cells", 1)).drop("cells"))
+    celled = checkpoint(_to_cells(nodes, shared, {}).withColumn("cell", F.element_at("cells", 1)).drop("cells"))
+    probes = {dim: _probes(celled.where(F.col("dim") == dim), own, members - 1) for dim, own in centres.items()}
     parts = checkpoint(celled.groupBy("dim", "cell").agg(F.expr(f"CAST(CEIL(COUNT(*) / {shard}) AS INT)").alias("parts")))
 
     def build(group: pa.Table) -> pa.Table:
@@ -238,7 +273,7 @@ def build_index(vectors: DataFrame, members: int, shard: int = SHARD) -> Index:
     # a row for each cell, of which there are no more than CELLS besides one for each small dimension
     placed = celled.join(parts, ["dim", "cell"]).withColumn("part", F.expr("CAST(pmod(e1, parts) AS INT)"))
     shards = placed.groupBy("dim", "cell", "part").applyInArrow(build, "dim int, cell int, part int, node int, entry int, embedding array<double>, members array<bigint>, edges array<int>")
-    return Index(scratch(shards), parts, centres)
+    return Index(scratch(shards), parts, centres, probes)
 
 
 def _cosines(points: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -250,13 +285,14 @@ def _cosines(points: np.ndarray, queries: np.ndarray) -> np.ndarray:
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each row of queries (as usable() gives them).
 
-    Different query vectors go to the PROBES cells with the nearest centres, to all shards of each, in blocks; a shard's
+    Different query vectors go to the cells with the nearest centres, as many as the index found to be needed, to all
+    shards of each, in blocks; a shard's
     graph is searched with a beam and answers with the k + 1 best, by exact cosines.  Ties: the smaller vec_id first.
     A query is no candidate of its own: rows with its id aren't.  Queries whose dimension the index lacks find nothing.
     """
     asked = queries.groupBy("e1", "e2", "dim").agg(F.first("embedding").alias("embedding"))
     shared = queries.sparkSession.sparkContext.broadcast(index.centres)
-    sent = scratch(_to_cells(asked, shared, PROBES).select("dim", F.explode("cells").alias("cell"), "e1", "e2", F.col("embedding").alias("query")))
+    sent = scratch(_to_cells(asked, shared, index.probes).select("dim", F.explode("cells").alias("cell"), "e1", "e2", F.col("embedding").alias("query")))
     loads = sent.groupBy("dim", "cell").agg(F.expr(f"CAST(CEIL(COUNT(*) / {BLOCK}) AS INT)").alias("blocks"))
     load = scratch(index.parts.join(loads, ["dim", "cell"]))
     sent = sent.join(load.toDF("dim", "cell", "parts", "blocks"), ["dim", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
