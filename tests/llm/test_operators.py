@@ -133,7 +133,9 @@ def test_distance_table(spark):
             assert sum(row[f"c{k}"] >> 4 * j & 15 for k in range(7)) == ((row.fp ^ p) & (1 << 64) - 1).bit_count()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [200_000, 5])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr("obsward.llm.components.FEW", few)
     chain = [(i, i + 1) for i in range(100)] + [(1000 + i, 1000 + j) for i in range(20) for j in range(i)]
     R.shuffle(chain)
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long").repartition(4)).collect()}
