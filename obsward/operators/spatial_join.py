@@ -17,6 +17,8 @@ from obsward.types import DEFAULT, Columns, CoordinateType
 LEAST_EDGE = 1.0
 #: Estimated bytes of queries up to which they are dealt over the cores before they are joined.
 SMALL = 256 << 20
+#: Estimated bytes of points up to which they are broadcast.
+SENT = 16 << 20
 
 
 def placed(df: DataFrame, kind: CoordinateType | int | str = CoordinateType.Geodetic, cols: Columns = DEFAULT) -> DataFrame:
@@ -40,26 +42,30 @@ def largest(df: DataFrame, radius: Param) -> float:
     return float(df.agg(F.max(param(radius))).first()[0] or 0.0)
 
 
-def _few_splits(df: DataFrame) -> bool:
-    """Whether so little is read that a scan may be one split, which one core would work on alone."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
+def _estimated(df: DataFrame) -> int:
+    """The optimizer's estimate of the bytes of df."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def near(queries: DataFrame, points: DataFrame, radius: float, condition: Column, by: str) -> DataFrame:
     """Inner join of placed queries (alias q) and points (alias p) under a condition that no pair further apart meets.
 
     Cells have twice the radius as edge, so a query looks at one or two of them along each axis, three and a half on
-    average; a point has one, so no pair comes twice.  Dense cells are left to adaptive skew joins.  Small inputs are
-    dealt by `by` first, so that all cores work on the pairs.
+    average; a point has one, so no pair comes twice.  Dense cells are left to adaptive skew joins.
+
+    Few queries are dealt by `by` first: a scan may be one split, whose pairs one core would make alone.  Few points are
+    broadcast, so that the queries stay dealt like that, and an aggregate by that column shuffles nothing.  Both look at
+    the estimated size, and only change the plan.
     """
     reach = max(radius, LEAST_EDGE / 2) * (1 + 1e-9)
     edge = F.lit(2 * reach)
-    if _few_splits(queries):
+    if _estimated(queries) <= SMALL:
         queries = queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
     for c in "xyz":
         queries = queries.withColumn(f"_{c}", F.explode(F.sequence(F.floor((F.col(c) - reach) / edge), F.floor((F.col(c) + reach) / edge))))
     q = queries.withColumn("_cell", _key(F.col("_x"), F.col("_y"), F.col("_z"))).drop("_x", "_y", "_z").alias("q")
-    p = points.withColumn("_cell", _key(*[F.floor(F.col(c) / edge) for c in "xyz"])).alias("p")
+    p = points.withColumn("_cell", _key(*[F.floor(F.col(c) / edge) for c in "xyz"]))
+    p = (F.broadcast(p) if _estimated(points) <= SENT else p).alias("p")
     return q.join(p, (F.col("q._cell") == F.col("p._cell")) & condition)
 
 
