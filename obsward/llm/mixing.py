@@ -137,11 +137,12 @@ def reached(mixture: DataFrame, targets: Targets | None = None) -> DataFrame:
     for name, wanted in targets.dimensions().items():
         value = F.col("_topic") if name == "topic" else F.col(f"_row.{name}").cast("string") if name in has else F.lit(None).cast("string")
         known = F.when(value.isin([k for k in wanted if k != REST]), value).otherwise(REST)
-        found.append(mixture.groupBy(known.alias("value")).agg(F.sum("_tokens").alias("all"), F.sum(F.col("_tokens") * F.col("_probability")).alias("kept")).select(F.lit(name).alias("dimension"), "*"))
+        goal = F.try_element_at(F.create_map(*[F.lit(x) for k, w in wanted.items() for x in (k, float(w))]), F.col("value"))
+        sums = [F.sum("_tokens").alias("all"), F.sum(F.col("_tokens") * F.col("_probability")).alias("kept")]
+        found.append(mixture.groupBy(known.alias("value")).agg(*sums).select(F.lit(name).alias("dimension"), "*", goal.alias("goal")))
     every = found[0].unionByName(found[1]).unionByName(found[2]).where("all > 0")
-    goals = every.sparkSession.createDataFrame([(d, k, float(w)) for d, some in targets.dimensions().items() for k, w in some.items()], "dimension string, value string, goal double")
     whole = Window.partitionBy("dimension")
-    joined = every.join(F.broadcast(goals), ["dimension", "value"], "left").withColumns({"available": F.col("all") / F.sum("all").over(whole), "expected": F.col("kept") / F.sum("kept").over(whole)})
+    joined = every.withColumns({"available": F.col("all") / F.sum("all").over(whole), "expected": F.col("kept") / F.sum("kept").over(whole)})
     free = F.coalesce(F.sum(F.when(F.col("goal").isNull(), F.col("available"))).over(whole), F.lit(0.0))
     return joined.select("dimension", "value", (F.col("goal") * (1 - free) / F.sum("goal").over(whole)).alias("wanted"), "available", "expected")
 
