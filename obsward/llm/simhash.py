@@ -14,6 +14,7 @@ most of the table.  Pivots drawn from each bucket of candidates, and the second
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from random import Random
 
@@ -26,6 +27,7 @@ from obsward.llm.common import checkpoint, join_counted, map_batches, portions,
 from obsward.llm.components import components
 from obsward.llm.hashing import simhash_many
 from obsward.llm.similar import keep_one  # noqa: F401
+from obsward.llm.superkmer import U, key_table, looked_up
 
 #: Reference fingerprints of the distance table (drawn at random; any set gives the same links).
 _DRAWN = Random(16)
@@ -66,13 +68,25 @@ def distance_table(fps: DataFrame, blocks: int) -> DataFrame:
 
 
 def candidate_buckets(fps: DataFrame, most: int) -> DataFrame:
-    """key, fp: fingerprints (distinct) that share their coordinates in three blocks, once for each such three."""
+    """key, fp: fingerprints (distinct) that share their coordinates in three blocks, once for each such three.
+
+    A bit table of the keys that several fingerprints have leaves the others where they are: only rows of shared keys, and
+    some of keys that share their bit, which are alone under theirs, are written and joined later.
+    """
     blocks = most + SHARED
     names = combinations([f"c{k}" for k in range(blocks)], SHARED)
     keys = F.array(*[F.xxhash64(F.lit(i), *some) for i, some in enumerate(names)])
-    keyed = distance_table(fps, blocks).select(F.explode(keys).alias("key"), "fp")
-    shared = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    return scratch(join_counted(keyed, shared, ["key"], "n").select("key", "fp"))
+    table = distance_table(fps, blocks)
+    shared = key_table(table.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.column("keys").flatten().to_numpy()
+            on = np.flatnonzero(looked_up(shared.value, some.view(U)))
+            of = np.repeat(np.arange(batch.num_rows), len(some) // max(batch.num_rows, 1))[on]
+            yield pa.RecordBatch.from_arrays([pa.array(some[on]), batch.column("fp").take(pa.array(of))], ["key", "fp"])
+
+    return scratch(table.select(keys.alias("keys"), "fp").mapInArrow(run, "key bigint, fp bigint"))
 
 
 def _apart(a: str, b: str) -> Column:
@@ -94,7 +108,7 @@ def linked(fps: DataFrame, most: int = 4) -> DataFrame:
     between different components is missed, and links within one are not needed.
     """
     buckets = candidate_buckets(fps, most)
-    first = checkpoint(buckets.groupBy("key").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("key", "fp")).alias("one")))
+    first = checkpoint(buckets.groupBy("key").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("key", "fp")).alias("one")).where("n > 1"))
     near = scratch(join_counted(buckets, first, ["key"], "n").select("key", "fp", "one", _apart("fp", "one").alias("d")))
     # buckets that lie within reach of their first pivot are one component
     second = near.groupBy("key").agg(F.count("*").alias("n"), F.max("d").alias("far"), F.max_by("fp", F.struct("d", "fp")).alias("two"))

@@ -126,6 +126,24 @@ def test_links_between_many_fingerprints(spark):
     assert {signed(f): got.get(signed(f), signed(f)) for f in fps} == {signed(f): least[k] for f, k in zip(fps, root, strict=True)}
 
 
+def test_only_shared_coordinates_are_joined(spark, monkeypatch):
+    """Of many unrelated fingerprints and one large group of near copies, joins read the rows of shared keys only."""
+    r = random.Random(11)
+    centre = r.getrandbits(64)
+    fps = sorted({signed(x) for x in [r.getrandbits(64) for _ in range(3000)] + [centre ^ 1 << i ^ 1 << j for i in range(20) for j in range(i)]})
+    joined, join = [], simhash.join_counted
+
+    def counted(rows, *others):
+        joined.append(rows.count())
+        return join(rows, *others)
+
+    monkeypatch.setattr(simhash, "join_counted", counted)
+    got = {x.node: x.root for x in simhash.linked(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    near = {signed(centre ^ 1 << i ^ 1 << j) for i in range(20) for j in range(i)}
+    assert {got.get(f) for f in near} == {min(near)} and len(got) < 200
+    assert max(joined) < 35 * len(near) + 1000 < 35 * len(fps) // 10
+
+
 def test_distance_table(spark):
     fps = [R.getrandbits(64) for _ in range(50)]
     for row in simhash.distance_table(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), 7).collect():
