@@ -35,9 +35,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, that with the smallest doc_id (null last).
 
+    Groups are those of op1's fingerprints, joined with what five-word shingles show to be similar by 0.8 beyond them.
     Texts without words, null or empty, are copies of each other; of tied and repeated rows one stays.
     """
-    return simhash.keep_one(docs)
+    return simhash.keep_first(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from obsward.llm.common import checkpoint, join_counted, map_batches, portions, read, scratch, utf8
 from obsward.llm.components import components
 from obsward.llm.hashing import simhash_many
-from obsward.llm.similar import keep_one  # noqa: F401
+from obsward.llm.similar import keep_one, named_fingerprints
 from obsward.llm.superkmer import U, key_table, looked_up
 
 #: Reference fingerprints of the distance table (drawn at random; any set gives the same links).
@@ -143,7 +143,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     component's ids are null.  Documents with one fingerprint are one node, so copies are never paired.  Whole texts of
     any length count; rows that repeat stay; an empty table gives no rows; other columns are not looked at.
     """
-    own = checkpoint(fingerprints(docs, shingle))
+    return grouped(fingerprints(docs, shingle), most)
+
+
+def grouped(found: DataFrame, most: int = 4) -> DataFrame:
+    """near_duplicates of rows doc_id, fp."""
+    own = checkpoint(found)
     by_fp = checkpoint(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     roots = linked(by_fp.select("fp"), most).withColumnRenamed("node", "fp")
     rooted = checkpoint(by_fp.join(roots, "fp", "left").select("fp", "copies", "least", F.coalesce("root", "fp").alias("root")))
@@ -152,6 +157,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     return join_counted(own, named, ["fp"], "copies").select("doc_id", "fp", "component_id")
 
 
+def fingerprint_links(texts: DataFrame, shingle: int, words: int = 4, most: int = 4) -> DataFrame:
+    """a, b: links between the shingle sets of texts (_text), by their names, that reach what near_duplicates of the texts reach."""
+    near = grouped(named_fingerprints(texts, shingle, words), most)
+    return scratch(near.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, without near-duplicates: of each component the row with the smallest doc_id stays.
+
+    Documents link as in near_duplicates, by fingerprints within 4 bits over the pivot distance tables.  As a pair at
+    similarity 0.8 is seldom that near, those that are not in one component yet link by similarity as well (keep_one).
+    """
+    return keep_one(docs, given=fingerprint_links)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """near_duplicates of documents by words in fours and four bits, the fingerprint in hex."""
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from random import Random
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from obsward.llm.common import portions, scratch, utf8
 from obsward.llm.components import components
-from obsward.llm.hashing import shingle_sets
+from obsward.llm.hashing import shingle_sets, simhash_many
 from obsward.llm.superkmer import U, key_table, looked_up, mixed
 
 #: Words of a shingle and the similarity from which on documents are near-duplicates.
@@ -21,6 +21,8 @@ SHINGLE, LEAST = 5, 0.8
 ROWS, BANDS = 5, 30
 #: Rounds in which a document is compared with one other only, before all pairs that are still open are.
 STARS = 2
+#: Texts turned to bytes at once.
+TEXTS_AT_ONCE = 256
 #: Candidate pairs made at once.
 PAIRS_AT_ONCE = 1 << 16
 _DRAWN = Random(5)
@@ -55,10 +57,29 @@ def _least_sizes(least: float) -> int:
     return n
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+    """The texts of the batch, some at a time and in its order."""
+    for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+        texts = utf8(batch.column("_text").slice(at, TEXTS_AT_ONCE))
+        for a, b in portions(texts, 1 << 19):
+            yield texts[a:b]
+
+
 def _sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    texts = utf8(batch.column("_text"))
-    for a, b in portions(texts, 1 << 19):
-        yield shingle_sets(texts[a:b], shingle)
+    for texts in _texts(batch):
+        yield shingle_sets(texts, shingle)
+
+
+def named_fingerprints(texts: DataFrame, shingle: int, words: int) -> DataFrame:
+    """doc_id, fp: the name of each shingle set of texts (_text) and the fingerprints, by so many words, of its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in _texts(batch):
+                names = _nodes(*shingle_sets(some, shingle))
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (names, simhash_many(some, words))], ["doc_id", "fp"])
+
+    return texts.select("_text").mapInArrow(run, "doc_id bigint, fp bigint").distinct()
 
 
 def _sketches(texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -172,8 +193,8 @@ def _open_pairs(live: DataFrame, least: float) -> DataFrame:
     return live.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def similar_groups(texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """node, least, root of each different shingle set of texts (_id, _text): root is the smallest node that links of at least that similarity reach.
+def similar_groups(texts: DataFrame, shingle: int, least: float, given: DataFrame | None = None) -> DataFrame:
+    """node, least, root of each different shingle set of texts (_id, _text): root is the smallest node that links of at least that similarity, and the given ones (a, b: nodes), reach.
 
     Sets that share a band's key lie in one bucket.  In the first rounds a set is compared with one other, drawn as its
     bucket's centre, so that a large group of near copies is joined by few comparisons; then all pairs of a bucket that
@@ -183,16 +204,19 @@ def similar_groups(texts: DataFrame, shingle: int, least: float) -> DataFrame:
     keyed = own.select("node", "size", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = scratch(keyed.join(shared, "key").select("key", "node", "size"))
-    roots = own.select("node", F.col("node").alias("root")).where("false")
+    none = own.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    links = none if given is None else given
+    roots = own.select("node", F.col("node").alias("root")).where("false") if given is None else scratch(components(given))
     if not buckets.isEmpty():
-        shingles = _shingles(texts, buckets.select("node").distinct(), shingle)
-        links = tested = own.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+        shingles, tested = None, none
         for turn in range(STARS + 1):
             rooted = buckets.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
             several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("draw"), "node", "size", "root")).alias("centre")).where("x <> y").select("key", "centre")
             live = scratch(rooted.join(several, "key").select("key", "node", "size", "root", "centre"))
             if live.isEmpty():
                 break
+            if shingles is None:  # what is live later is live now
+                shingles = _shingles(texts, live.select("node").distinct(), shingle)
             if turn < STARS:
                 star = live.where(F.col("root") != F.col("centre.root")).where(F.least("size", "centre.size") >= F.greatest("size", "centre.size") * (least - 1e-9)).select("node", *_ordered(F.col("node"), F.col("centre.node")))
                 one = star.join(tested, ["a", "b"], "left_anti").groupBy("node").agg(F.min(F.struct(F.xxhash64("a", "b"), "a", "b")).alias("p"))
@@ -205,12 +229,13 @@ def similar_groups(texts: DataFrame, shingle: int, least: float) -> DataFrame:
     return own.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, given: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """The rows of docs, all columns, without near-duplicates: of each component the row with the smallest doc_id stays.
 
     Documents link where the Jaccard similarity of their sets of lower-cased word shingles is at least `least`; a text
     of fewer words is one shingle, and texts without words (null, empty) are copies of each other.  Rows that tie in
-    shingles and id (repeated rows, null ids) count as copies, of which one stays.
+    shingles and id (repeated rows, null ids) count as copies, of which one stays.  given: makes further links (a, b: names
+    of shingle sets) from the texts (_id, _text) and the words of a shingle.
     """
     wide = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
 
@@ -220,7 +245,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> D
             if found:
                 yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), pa.array(np.concatenate(found))], ["_row", "_id", "_node"])
 
-    groups = similar_groups(wide.select("_id", "_text"), shingle, least)
+    texts = wide.select("_id", "_text")
+    groups = similar_groups(texts, shingle, least, None if given is None else given(texts, shingle))
     kept = groups.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("best")).select(F.col("best.node").alias("_node"), F.col("best.least").alias("_least"))
     rows = wide.mapInArrow(named, wide.select("_row", "_id").schema.add("_node", "long")).join(kept, "_node").where(F.col("_id").eqNullSafe(F.col("_least")))
     first = Window.partitionBy("_node").orderBy("_id")

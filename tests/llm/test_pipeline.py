@@ -1,15 +1,17 @@
 """The corpus pipeline: what each stage keeps is right for its own input, and the whole against a plain version."""
 
 import hashlib
+import random
 
 import corpus_pipeline
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from test_kernels import plain_simhash
 from test_operators import TEXTS, ordered, plain_lines
-from test_similar import shingles
+from test_similar import mutated, shingles
 
-from obsward.llm import bpe, mixing, quality
+from obsward.llm import bpe, mixing, quality, simhash
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -81,3 +83,33 @@ def test_awkward_and_empty_tables(spark, tmp_path, n):
     tables = stages(spark, docs, f"{tmp_path}/out", str(tmp_path))
     check(spark, tables, labels)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == tables[-1].count() and (n > 0 or tables[-1].count() == 0)
+
+
+def test_near_copies_are_grouped_by_fingerprints_and_by_similarity(spark, monkeypatch):
+    """Pairs that only the fingerprints link, only the similarity, or both, and chains of these, against brute force."""
+    r = random.Random(4)
+    texts = [None, "", "one", "One"]
+    for k in range(4):
+        base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        texts += [" ".join(mutated(base, n, r)) for n in (0, *(1 + x % (8 + 4 * k) for x in range(14)))]
+    r.shuffle(texts)
+    rows = [(k if k % 9 else None, t) for k, t in enumerate(texts)]
+    sets, fps = [shingles(t) for t in texts], [plain_simhash((t or "").encode(), 4) for t in texts]
+    root, by_fp, by_set = list(range(len(rows))), 0, 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            near, alike = (fps[i] ^ fps[j]).bit_count() <= 4, x == y or len(x & y) / len(x | y) >= 0.8
+            by_fp += near and not alike
+            by_set += alike and not near
+            if near or alike:
+                a, b = root[i], root[j]
+                root = [min(a, b) if k in (a, b) else k for k in root]
+    groups = {}
+    for (i, _), k in zip(rows, root, strict=True):
+        groups.setdefault(k, []).append((i is None, i or 0))
+    assert by_fp and by_set
+    used, linked = [], simhash.linked
+    monkeypatch.setattr(simhash, "linked", lambda fps, most: used.append(fps.count()) or linked(fps, most))
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert sorted((i is None, i or 0) for i, _ in pairs(kept)) == sorted(min(g) for g in groups.values())
+    assert used == [len(set(fps))]
