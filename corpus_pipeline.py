@@ -75,5 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The classifier, minhash bands and the encoder have no SQL form.
+#: The classifier, fingerprints, minhash bands and the encoder have no SQL form.
 ORACLE_SQL: str | None = None
