@@ -52,9 +52,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, token_ids of every document; decoded_sha256 of the bytes that the ids decode to,
     intact: these are the text's.  A null or empty text has no ids."""
-    encoded = bpe.encode_documents(docs.select("doc_id", "text", "source", "lang"), bpe.vocabulary())
+    decoded = bpe.encode_and_decode(docs.select("doc_id", "text", "source", "lang"), bpe.vocabulary())
     text = F.coalesce("text", F.lit("")).cast("binary")
-    decoded = bpe.decode_documents(encoded, bpe.vocabulary())
     found = [F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == text).alias("intact")]
     return decoded.select("doc_id", "source", "lang", "n_tokens", "token_ids", *found)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from heapq import heappop, heappush
 from struct import pack
 
@@ -13,9 +13,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DataType, LongType, StructField, StructType
 
-from obsward.llm.common import map_batches, read, utf8
+from obsward.llm.common import map_batches, read, small_parts, utf8
 
 #: Short pre-tokens whose ids a worker keeps, about 150 bytes each.
 CACHED_PIECES, CACHED_BYTES = 1_000_000, 48
@@ -172,6 +172,24 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def _added(docs: DataFrame, new: dict[str, DataType], read_from: str, each: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """All columns of docs and the new ones, made from a column in one pass and in small parts.  Columns of docs with the new
+    names are replaced, others may have any names."""
+    kept = [c for c in docs.columns if c not in new]
+    some = docs.select(*[F.col(_quoted(c)) for c in kept])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in small_parts(batches, read_from):
+            yield pa.RecordBatch.from_arrays([*part.columns, *each(part.column(read_from))], [*kept, *new])
+
+    return some.mapInArrow(run, StructType([*some.schema.fields, *(StructField(k, v) for k, v in new.items())]))
+
+
+def _packed(own: Codec, texts: pa.Array) -> tuple[list[bytes], list[pa.Array]]:
+    packed = [own.encode_packed(t or "") for t in texts.to_pylist()]
+    return packed, [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
     """All columns of docs and `token_ids` (binary, little-endian unsigned 32-bit), `n_tokens`.
 
@@ -179,34 +197,31 @@ def encode_documents(docs: DataFrame, path: str, pattern: str | None = None) ->
     nothing is shuffled.  Columns of docs with these two names are replaced, others may have any names.  An empty table
     gives no rows.
     """
-    kept = [c for c in docs.columns if c not in ("token_ids", "n_tokens")]
-    some = docs.select(*[F.col(_quoted(c)) for c in kept])
-    schema = StructType([*some.schema.fields, StructField("token_ids", BinaryType()), StructField("n_tokens", LongType())])
     pattern = pattern or split_pattern()
+    return _added(docs, {"token_ids": BinaryType(), "n_tokens": LongType()}, "text", lambda texts: _packed(codec(path, pattern), texts)[1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def decode_documents(encoded: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
+    """All columns of encoded and `decoded` (binary) from `token_ids`; null ids decode to nothing."""
+    pattern = pattern or split_pattern()
+
+    def each(ids: pa.Array) -> list[pa.Array]:
         own = codec(path, pattern)
-        for batch in batches:
-            packed = [own.encode_packed(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())], [*kept, "token_ids", "n_tokens"])
+        return [pa.array([own.decode_packed(p or b"") for p in ids.to_pylist()], pa.binary())]
 
-    return some.mapInArrow(run, schema)
+    return _added(encoded, {"decoded": BinaryType()}, "token_ids", each)
 
 
-def decode_documents(encoded: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
-    """All columns of encoded and `decoded` (binary) from `token_ids`; null ids decode to nothing."""
-    kept = [c for c in encoded.columns if c != "decoded"]
-    some = encoded.select(*[F.col(_quoted(c)) for c in kept])
-    schema = StructType([*some.schema.fields, StructField("decoded", BinaryType())])
+def encode_and_decode(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
+    """decode_documents of encode_documents, in one pass: a task needs one worker with one codec, and not two in a row."""
     pattern = pattern or split_pattern()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(texts: pa.Array) -> list[pa.Array]:
         own = codec(path, pattern)
-        for batch in batches:
-            decoded = [own.decode_packed(p or b"") for p in batch.column("token_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*kept, "decoded"])
+        packed, found = _packed(own, texts)
+        return [*found, pa.array(map(own.decode_packed, packed), pa.binary())]
 
-    return some.mapInArrow(run, schema)
+    return _added(docs, {"token_ids": BinaryType(), "n_tokens": LongType(), "decoded": BinaryType()}, "text", each)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:

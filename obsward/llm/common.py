@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,3 +109,26 @@ def portions(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, in
         total += len(text)
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def give_back() -> None:
+    """What the worker has freed goes back to the system: Spark keeps idle workers, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def small_parts(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where texts (or bytes) of the column have about so many bytes together, a row counting as 64 more:
+    what a worker makes of a part, several times its size, then is not held for a whole batch of Spark's (10,000 rows).
+    A longer text is a part of its own.  After the last part, freed memory is given back."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+        end = np.cumsum(size)
+        begin = 0
+        while begin < batch.num_rows:
+            stop = max(begin + 1, int(np.searchsorted(end, end[begin] - size[begin] + limit, side="right")))
+            yield batch.slice(begin, stop - begin)
+            begin = stop
+    give_back()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsward.llm.common import portions, scratch, utf8
+from obsward.llm.common import portions, scratch, small_parts, utf8
 from obsward.llm.components import components
 from obsward.llm.hashing import shingle_sets, simhash_many
 from obsward.llm.superkmer import U, key_table, looked_up, mixed
@@ -240,10 +240,9 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, give
     wide = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_nodes(*x).view(np.int64) for x in _sets(batch, shingle)]
-            if found:
-                yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), pa.array(np.concatenate(found))], ["_row", "_id", "_node"])
+        for part in small_parts(batches, "_text"):
+            names = _nodes(*shingle_sets(utf8(part.column("_text")), shingle))
+            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("_id"), pa.array(names.view(np.int64))], ["_row", "_id", "_node"])
 
     texts = wide.select("_id", "_text")
     groups = similar_groups(texts, shingle, least, None if given is None else given(texts, shingle))
