@@ -90,3 +90,65 @@ def test_isolation_is_decided_without_pairs(spark, monkeypatch, vertical):
         bad = (i % 5 > 0) & np.isnan(elev)
     expected = (bad | (near.sum(axis=1) < 4)).astype(int).tolist()
     assert [r.flag for r in isolation_check(df, 4, "r", vertical).orderBy("station_id").collect()] == expected and 0 < sum(expected) < 400
+
+
+def buddy_flags(value, elev, near, num_min, bad, rounds, gradient=0.0):
+    flags = np.zeros(len(value), int)
+    for _ in range(rounds):
+        seen = flags.copy()
+        for i in np.flatnonzero(seen == 0):
+            j = np.flatnonzero(near[i] & (seen == 0))
+            if len(j) and len(j) >= num_min[i] and bad(value[i], value[j] + (elev[i] - elev[j]) * gradient):
+                flags[i] = 1
+    return flags.tolist()
+
+
+@pytest.mark.parametrize(("elevated", "rounds", "threshold"), [(False, 1, 2), (True, 3, 1.5), (True, 2, 2.5)])
+def test_buddies_are_judged_without_pairs(spark, monkeypatch, elevated, rounds, threshold):
+    no_pairs(monkeypatch)
+    lat, lon, d, other, _ = places(600)
+    r = np.random.default_rng(4)
+    elev = r.uniform(0, 2500, 600)
+    value = 20 - 0.0065 * elev * elevated + r.normal(0, 2, 600) + np.where(r.random(600) < 0.05, 15, 0)
+    df = from_arrays(spark, lat.tolist(), lon.tolist(), elev.tolist(), None, value.tolist()).withColumns({"r": F.expr("20000D + station_id % 3 * 8000"), "m": F.expr("3 + station_id % 4")})
+    i = np.arange(600)
+    near = (d <= (20000 + i % 3 * 8000)[:, None]) & other & (~np.array(elevated) | (np.abs(elev[:, None] - elev) <= 900))
+
+    def bad(v, w):
+        return abs(v - w.mean()) > threshold * max(np.sqrt(w.var() + w.var() / len(w)), 0.5)
+
+    got = buddy.buddy_check(df, "r", "m", threshold, 900 * elevated, -0.0065, 0.5, rounds)
+    expected = buddy_flags(value, elev, near, 3 + i % 4, bad, rounds, -0.0065 * elevated)
+    assert [x.flag for x in got.orderBy("station_id").collect()] == expected and 5 < sum(expected) < 300
+
+
+@pytest.mark.parametrize("elevated", [False, True])
+@pytest.mark.parametrize("threshold", [0.2, 3])
+def test_events_are_judged_without_pairs(spark, monkeypatch, elevated, threshold):
+    no_pairs(monkeypatch)
+    lat, lon, d, other, _ = places(500)
+    r = np.random.default_rng(6)
+    elev, value = r.uniform(0, 2500, 500), r.normal(18 if elevated else 21, 2, 500)
+    df = from_arrays(spark, lat.tolist(), lon.tolist(), elev.tolist(), None, value.tolist())
+    near = (d <= 22_000) & other & (~np.array(elevated) | (np.abs(elev[:, None] - elev) <= 1500))
+
+    def bad(v, w):
+        alike = (w < 20).sum() if v < 20 else (w >= 20).sum()
+        return alike <= threshold if threshold >= 1 else alike / len(w) <= threshold
+
+    got = buddy.buddy_event_check(df, 22_000.0, 4, 20, threshold, 1500 * elevated, -0.0035, 2)
+    expected = buddy_flags(value, elev, near, np.full(500, 4), bad, 2, -0.0035 * elevated)
+    assert [x.flag for x in got.orderBy("station_id").collect()] == expected and 0 < sum(expected) < 400
+
+
+def test_buddies_are_decided_from_few_points(monkeypatch):
+    """What is looked at for a station grows less than its neighbours."""
+    looked, leaves = [], regions.Tree._leaves
+    monkeypatch.setattr(regions.Tree, "_leaves", lambda self, *args: looked.append(len(args[-1])) or leaves(self, *args))
+    r = np.random.default_rng(2)
+    for n in (2000, 32_000):
+        at = np.column_stack([r.uniform(0, 1e5, (n, 2)), np.zeros(n)])
+        sums = np.column_stack([np.ones(n), r.normal(0, 1, (n, 1))])
+        got = regions.Tree(at, sums, []).visit(at[:100], np.full(100, 3e4), True, lambda i, sure, more: more[:, 0] < 0.3 * sure[:, 0])
+        assert (got[:, 0] > 0).all()
+    assert sum(looked) < 100 * 32_000 // 100
