@@ -3,23 +3,31 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from obsward.functions.validity import clean, is_valid
 from obsward.operators.background import LAPSE, vertical_profile
+from obsward.operators.slopes import median_slope
 from obsward.types import DEFAULT, BackgroundType, Columns, member
 
 
 def theil_sen(df: DataFrame, group: str, num_min_prof: int, min_elev_diff: float, cols: Columns = DEFAULT) -> DataFrame:
     """group, slope, intercept: median slope of all pairs (0 within a metre of elevation), median of what is left.
 
-    Groups with few stations or on flat ground take the standard lapse rate.  Pairs grow with the square of a group.
+    Groups with few stations or on flat ground take the standard lapse rate.  Pairs are counted and not made
+    (operators.slopes); each group's rows go to one task.
     """
     rows = df.where(is_valid(cols.elev) & is_valid(cols.value)).select(F.col(group).alias("_g"), F.col(cols.id).alias("_id"), clean(cols.elev).alias("_z"), clean(cols.value).alias("_v"))
-    a, b = rows.alias("a"), rows.alias("b")
-    dz = F.col("a._z") - F.col("b._z")
-    slopes = a.join(b, (F.col("a._g") == F.col("b._g")) & (F.col("a._id") < F.col("b._id"))).groupBy(F.col("a._g").alias("_g")).agg(F.percentile(F.when(F.abs(dz) < 1, 0.0).otherwise(F.try_divide(F.col("a._v") - F.col("b._v"), dz)), F.lit(0.5)).alias("_m"))
+
+    def slope(group: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        z, v = (t.column(c).to_numpy() for c in ("_z", "_v"))
+        return pa.table({"_g": pa.array([group[0].as_py()], t.schema.field("_g").type), "_m": pa.array([median_slope(z, v)])})
+
+    fields = StructType([rows.schema["_g"], StructField("_m", DoubleType())])
+    slopes = rows.where("_g IS NOT NULL").select("_g", "_z", "_v").groupBy("_g").applyInArrow(slope, fields).withColumn("_m", F.nanvl("_m", F.lit(None).cast("double")))
     shape = rows.groupBy("_g").agg(F.count("*").alias("_n"), F.percentile("_z", F.array(F.lit(0.05), F.lit(0.95))).alias("_e"))
     flat = (F.col("_n") < num_min_prof) | (F.col("_e")[1] - F.col("_e")[0] < min_elev_diff) | (F.col("_e")[1] == F.col("_e")[0])
     fitted = shape.join(slopes, "_g", "left").select("_g", F.when(flat, LAPSE).otherwise(F.coalesce("_m", F.lit(LAPSE))).alias("slope"))

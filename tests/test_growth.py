@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from obsward.operators import buddy, duplicate, isolation, regions
+from obsward.operators import buddy, duplicate, isolation, regions, slopes
 from obsward.operators import spatial_join as sj
+from obsward.operators.background_frame import theil_sen
 from obsward.operators.isolation import isolation_check
 from obsward.sources import from_arrays
 
@@ -152,3 +153,24 @@ def test_buddies_are_decided_from_few_points(monkeypatch):
         got = regions.Tree(at, sums, []).visit(at[:100], np.full(100, 3e4), True, lambda i, sure, more: more[:, 0] < 0.3 * sure[:, 0])
         assert (got[:, 0] > 0).all()
     assert sum(looked) < 100 * 32_000 // 100
+
+
+@pytest.mark.parametrize("kind", ["steps", "fine", "near", "line", "level"])
+def test_median_slope_without_pairs(monkeypatch, kind):
+    """Of all pairs, of which a twentieth may be made at once."""
+    monkeypatch.setattr(slopes, "MADE", 50_000)
+    r = np.random.default_rng(1)
+    n = 1500
+    z = {"steps": lambda: r.integers(0, 2500, n).astype(float), "near": lambda: r.uniform(0, 4, n)}.get(kind, lambda: r.uniform(0, 2500, n))()
+    v = {"line": lambda: 2 * z, "level": lambda: np.zeros(n)}.get(kind, lambda: np.round(30 - 0.0065 * z + r.uniform(-1, 10, n), 2))()
+    i, j = np.triu_indices(n, 1)
+    dz = z[i] - z[j]
+    far = np.abs(dz) >= 1
+    assert slopes.median_slope(z, v) == pytest.approx(np.median(np.where(far, (v[i] - v[j]) / np.where(far, dz, 1), 0)), abs=1e-13)
+
+
+def test_theil_sen_of_a_large_group(spark):
+    """Of 450 million pairs."""
+    df = spark.range(30_000).selectExpr("id AS station_id", "1 AS g", "CAST(id * 31 % 2500 AS DOUBLE) AS elev", "20 - 0.01D * (id * 31 % 2500) + IF(id % 10 = 0, 50D, 0D) AS value")
+    row = theil_sen(df, "g", 5, 100).first()
+    assert row.slope == pytest.approx(-0.01, abs=1e-12) and row.intercept == pytest.approx(20, abs=1e-9)
