@@ -174,3 +174,19 @@ def test_theil_sen_of_a_large_group(spark):
     df = spark.range(30_000).selectExpr("id AS station_id", "1 AS g", "CAST(id * 31 % 2500 AS DOUBLE) AS elev", "20 - 0.01D * (id * 31 % 2500) + IF(id % 10 = 0, 50D, 0D) AS value")
     row = theil_sen(df, "g", 5, 100).first()
     assert row.slope == pytest.approx(-0.01, abs=1e-12) and row.intercept == pytest.approx(20, abs=1e-9)
+
+
+@pytest.mark.parametrize("vertical", [None, 300.0])
+def test_duplicates_are_found_without_pairs(spark, monkeypatch, vertical):
+    """Over several tiles, so that stations wait for others beyond an edge."""
+    no_pairs(monkeypatch)
+    monkeypatch.setattr(sj, "TILE", 20)
+    lat, lon, d, _, _ = places(500)
+    elev = np.random.default_rng(8).integers(0, 1000, 500).astype(float)
+    near = (d <= 9000) & (np.abs(elev[:, None] - elev) <= (vertical or 9e9))
+    kept = []
+    for i in range(500):
+        if not near[i, kept].any():
+            kept.append(i)
+    got = duplicate.duplicate_check(from_arrays(spark, lat.tolist(), lon.tolist(), elev.tolist()), 9000.0, vertical)
+    assert [r.flag for r in got.orderBy("station_id").collect()] == [int(i not in kept) for i in range(500)]
