@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from obsward.operators import buddy, duplicate, isolation, regions, slopes
+from obsward.operators import buddy, consistency, duplicate, isolation, regions, slopes
 from obsward.operators import spatial_join as sj
 from obsward.operators.background_frame import theil_sen
 from obsward.operators.isolation import isolation_check
@@ -190,3 +190,32 @@ def test_duplicates_are_found_without_pairs(spark, monkeypatch, vertical):
             kept.append(i)
     got = duplicate.duplicate_check(from_arrays(spark, lat.tolist(), lon.tolist(), elev.tolist()), 9000.0, vertical)
     assert [r.flag for r in got.orderBy("station_id").collect()] == [int(i not in kept) for i in range(500)]
+
+
+@pytest.mark.parametrize("test", ["sct", "resistant", "first_guess", "dual"])
+def test_consistency_over_tiles_equals_one_scan(spark, monkeypatch, test):
+    """One network without gaps, in tiles whose stations depend on each other."""
+    n = 700
+    lat, lon, _, _, _ = places(n)
+    r = np.random.default_rng(3)
+    value = r.normal(0, 1, n) + np.where(r.random(n) < 0.08, 30, 0)
+    df = from_arrays(spark, lat.tolist(), lon.tolist(), r.uniform(0, 300, n).tolist(), None, value.tolist())
+    ranges = [F.col("value") + d for d in (-20, 20, -1, 1)]
+    common = (3, 5, 8000, 15000, 2)
+
+    def flags():
+        got = {
+            "sct": lambda: consistency.sct(df, 3, 5, 8000, 15000, 3, -1, 100, 1000, 200, 2, 2, 0.5),
+            "resistant": lambda: consistency.sct_resistant(df, *common, 5, 100, 1000, 50000, 3, 300, *ranges, 0.5, 3, 3, background_type="MedianOuterCircle"),
+            "first_guess": lambda: consistency.fgt(df, *common, 5, 100, *ranges, 3, 3, background_type="MedianOuterCircle"),
+            "dual": lambda: consistency.sct_dual(df, 10, "Gt", *common, 1000, 50000, 3, 300, 0.1),
+        }[test]()
+        return [x.flag for x in got.orderBy("station_id").collect()]
+
+    expected = flags()
+    tiles, tiled = [], consistency.tiled
+    monkeypatch.setattr(consistency, "SERIAL", 10)
+    monkeypatch.setattr(consistency, "STEPS", 1)
+    monkeypatch.setattr(sj, "TILE", 50)
+    monkeypatch.setattr(consistency, "tiled", lambda *args, **options: tiles.append(args[2]) or tiled(*args, **options))
+    assert flags() == expected and len(set(expected)) > 1 and tiles
